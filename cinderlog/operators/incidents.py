@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import Fields, severity_rank
-from .grouping import Keys
+from .grouping import Keys, ranked_per_key
 from .metrics import metrics_wide
 from .security import WATCHED_TARGETS, TOOLS, scanner_hits
 
@@ -148,8 +148,6 @@ def correlate_incidents(
     stacked = stacked.unionByName(parts, allowMissingColumns=True)
     first_ips = F.array().cast("array<string>")
     if ips is not None:
-        from .grouping import ranked_per_key
-
         three = ranked_per_key(ips, keys, [F.asc("ip")], 3).groupBy(*keys).agg(
             F.array_sort(F.collect_list("ip")).alias("_ips")
         )
@@ -307,11 +305,8 @@ def health_scores(long: DataFrame, insights: DataFrame, keys: Keys = []) -> Data
         F.when(_m("incidents.security") > 0, 1).otherwise(0).alias("_n"),
         *[F.greatest(F.lit(0), F.least(F.lit(100), s)).cast("bigint").alias(f"{d}_score") for d, s in base.items()],
     )
-    # Whole hundredths, so the floor does not depend on binary fractions.
-    hundredths = sum(
-        (F.col(f"{d}_score") * round(v * 100) for d, v in OVERALL_WEIGHTS.items()), F.lit(0)
-    )
-    average = F.floor(hundredths / 100)
+    weighted = [F.col(f"{d}_score") * F.lit(v).cast("double") for d, v in OVERALL_WEIGHTS.items()]
+    average = F.floor(sum(weighted[1:], weighted[0]))
     overall = F.least(average, F.col("security_score"), F.col("reliability_score")).cast("bigint")
     scored = scored.withColumn("overall_score", overall)
     out = []

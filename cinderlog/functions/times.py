@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null, dash_to_null, strip_chars
+from .text import strip_chars
 
 # Strptime directives and their Spark pattern letters.
 STRPTIME_TO_SPARK = {
@@ -59,7 +59,8 @@ def normalize_timestamp(col: Column, fmt: str | None = None, year: int = 1970) -
 
     ``fmt`` is a strptime format tried first. ``year`` completes layouts without a year.
     """
-    text = dash_to_null(blank_to_null(strip_chars(col, "[]\"' ")))
+    # The empty text and "-" fit none of the layouts.
+    text = strip_chars(col, "[]\"' ")
     zoned = F.try_to_timestamp(
         F.regexp_replace(text, r"^(\d{1,2}/[A-Z][a-z]{2}/\d{4})[: ]", "$1:"),
         F.lit("d/MMM/yyyy:HH:mm:ss[ Z]"),

@@ -60,7 +60,10 @@ ACCESS_PATTERN = (
 
 
 def _access_stages(value: Column) -> list[Stage]:
-    return [{"_access": captures(value, ACCESS_PATTERN, 11)}]
+    return [
+        {"_access": captures(value, ACCESS_PATTERN, 11)},
+        {"_access_time": access_or_other_timestamp(raw_group(F.col("_access"), 3))},
+    ]
 
 
 def _access_fields() -> dict[str, Column]:
@@ -68,7 +71,7 @@ def _access_fields() -> dict[str, Column]:
     return {
         "source_ip": group(g, 1),
         "remote_user": dash_to_null(group(g, 2)),
-        "timestamp": access_or_other_timestamp(group(g, 3)),
+        "timestamp": F.col("_access_time"),
         "method": group(g, 4),
         "path": group(g, 5),
         "protocol": group(g, 6),
@@ -133,13 +136,18 @@ def syslog_level(priority: Column, message: Column) -> Column:
     return F.when(priority.isNotNull(), by_priority).otherwise(by_word)
 
 
-def _syslog_stages(value: Column) -> list[Stage]:
+def _syslog_stages(value: Column, year: int) -> list[Stage]:
     line = strip(value)
     bsd = F.when(~F.coalesce(matched(F.col("_ietf")), F.lit(False)), captures(line, BSD_SYSLOG_PATTERN, 6))
-    return [{"_ietf": captures(line, IETF_SYSLOG_PATTERN, 8)}, {"_bsd": bsd}]
+    ietf_time = normalize_timestamp(raw_group(F.col("_ietf"), 2), year=year)
+    return [
+        {"_ietf": captures(line, IETF_SYSLOG_PATTERN, 8)},
+        {"_bsd": bsd, "_ietf_time": ietf_time},
+        {"_bsd_time": bsd_timestamp(raw_group(F.col("_bsd"), 2), year)},
+    ]
 
 
-def _syslog_fields(year: int) -> dict[str, Column]:
+def _syslog_fields() -> dict[str, Column]:
     ietf, bsd = F.col("_ietf"), F.col("_bsd")
     is_ietf, is_bsd = matched(ietf), matched(bsd)
     pick = lambda i, b: F.when(is_ietf, i).otherwise(b)
@@ -147,9 +155,7 @@ def _syslog_fields(year: int) -> dict[str, Column]:
     message = pick(group(ietf, 8), raw_group(bsd, 6))
     return {
         "priority": priority,
-        "timestamp": pick(
-            normalize_timestamp(raw_group(ietf, 2), year=year), bsd_timestamp(raw_group(bsd, 2), year)
-        ),
+        "timestamp": pick(F.col("_ietf_time"), F.col("_bsd_time")),
         "hostname": pick(raw_group(ietf, 3), raw_group(bsd, 3)),
         "process": pick(raw_group(ietf, 4), raw_group(bsd, 4)),
         "pid": pick(raw_group(ietf, 5), raw_group(bsd, 5)).try_cast("bigint"),
@@ -166,7 +172,7 @@ def syslog_format(year: int) -> Format:
     parsed = lambda: matched(F.col("_ietf")) | F.coalesce(matched(F.col("_bsd")), F.lit(False))
     return Format(
         name="syslog", description="Syslog (RFC 3164 / RFC 5424)", priority=60,
-        extensions=(".log", ".syslog"), stages=_syslog_stages, fields=lambda: _syslog_fields(year),
+        extensions=(".log", ".syslog"), stages=lambda value: _syslog_stages(value, year), fields=_syslog_fields,
         parsed=parsed, matches=lambda value: parsed(), weight=0.90,
     )
 
@@ -183,7 +189,13 @@ DASH_APP_PATTERN = (
 def _app_stages(value: Column) -> list[Stage]:
     line = strip(value)
     dash = F.when(~F.coalesce(matched(F.col("_bracket")), F.lit(False)), captures(line, DASH_APP_PATTERN, 4))
-    return [{"_bracket": captures(line, BRACKET_APP_PATTERN, 4)}, {"_dashed": dash}]
+    text = F.when(matched(F.col("_bracket")), raw_group(F.col("_bracket"), 1)).otherwise(raw_group(F.col("_dashed"), 1))
+    return [
+        {"_bracket": captures(line, BRACKET_APP_PATTERN, 4)},
+        {"_dashed": dash},
+        {"_app_text": F.replace(text, F.lit(","), F.lit("."))},
+        {"_app_time": normalize_timestamp(F.col("_app_text"))},
+    ]
 
 
 def _app_fields() -> dict[str, Column]:
@@ -191,7 +203,7 @@ def _app_fields() -> dict[str, Column]:
     pick = lambda b, d: F.when(matched(bracket), raw_group(bracket, b)).otherwise(raw_group(dashed, d))
     level = F.upper(pick(2, 3))
     return {
-        "timestamp": normalize_timestamp(F.replace(pick(1, 1), F.lit(","), F.lit("."))),
+        "timestamp": F.col("_app_time"),
         "level": F.when(level == "WARN", "WARNING").otherwise(level),
         "logger": pick(3, 2),
         "message": pick(4, 4),
@@ -238,6 +250,8 @@ def _json_stages(value: Column) -> list[Stage]:
         {"_json_read": read},
         {"_json_map": once},
         {"_json": F.when(repeated, last_of_key).otherwise(m)},
+        {"_json_text": _json_aliased(F.col("_json"), "timestamp", JSON_TIME_ALIASES)},
+        {"_json_time": normalize_timestamp(F.col("_json_text"))},
     ]
 
 
@@ -276,7 +290,7 @@ def _json_fields() -> dict[str, Column]:
     lifted = [n for n in RECORD_FIELDS if n not in ("attrs", "format", "parse_error")]
     aliases = JSON_TIME_ALIASES + JSON_MESSAGE_ALIASES
     out = map_fields(m)
-    out["timestamp"] = normalize_timestamp(_json_aliased(m, "timestamp", JSON_TIME_ALIASES))
+    out["timestamp"] = F.col("_json_time")
     out["message"] = _json_aliased(m, "message", JSON_MESSAGE_ALIASES)
     out["level"] = json_level(m)
     out["attrs"] = F.map_filter(m, lambda k, v: ~(k.isin(*lifted) | F.lower(k).isin(*aliases)))
@@ -332,12 +346,16 @@ def windows_row_level(cell: Column) -> Column:
     return out
 
 
-def windows_row_fields(cells: Column) -> dict[str, Column]:
+def _cell(cells: Column, i: int) -> Column:
+    return strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))
+
+
+def windows_row_fields(cells: Column, time: Column | None = None) -> dict[str, Column]:
     """Record fields of one export row, by position."""
-    cell = lambda i: strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))
+    cell = lambda i: _cell(cells, i)
     return {
         "level": windows_row_level(cell(0)),
-        "timestamp": normalize_timestamp(cell(1)),
+        "timestamp": normalize_timestamp(cell(1)) if time is None else time,
         "source": blank_to_null(cell(2)),
         "event_id": safe_int(cell(3)),
         "category": blank_to_null(cell(4)),
@@ -368,13 +386,23 @@ def _windows_stages(value: Column) -> list[Stage]:
             "_cells": cells,
             "_event_start": is_event,
         },
-        {"_header": F.coalesce(header, F.lit(False)), "_row_shape": F.coalesce(row_shape, F.lit(False))},
+        {
+            "_header": F.coalesce(header, F.lit(False)),
+            "_row_shape": F.coalesce(row_shape, F.lit(False)),
+            "_event_text": F.when(
+                F.col("_xml_shape"),
+                # Spark keeps microseconds.
+                F.regexp_replace(F.col("_xml")["System"]["TimeCreated"]["_SystemTime"], r"(\.\d{6})\d+", "$1"),
+            ).otherwise(_cell(c, 1)),
+        },
+        {"_event_time": normalize_timestamp(F.col("_event_text"))},
     ]
 
 
 def _windows_fields() -> dict[str, Column]:
     xml, cells = F.col("_xml"), F.col("_cells")
-    row = windows_row_fields(cells)
+    time = F.col("_event_time")
+    row = windows_row_fields(cells, time)
     number = safe_int(xml["System"]["Level"])
     xml_level = F.lit("INFO")
     for n, name in WINDOWS_XML_LEVELS.items():
@@ -387,8 +415,7 @@ def _windows_fields() -> dict[str, Column]:
         ).otherwise(F.coalesce(d["_VALUE"], F.lit(""))),
     )
     event = {
-        "timestamp": normalize_timestamp(F.regexp_replace(xml["System"]["TimeCreated"]["_SystemTime"],
-                                                          r"(\.\d{6})\d+", "$1")),
+        "timestamp": time,
         "level": xml_level,
         "source": xml["System"]["Provider"]["_Name"],
         "event_id": safe_int(xml["System"]["EventID"]),
@@ -442,6 +469,15 @@ def regex_format(
     spanning = rf"(?Ud)^(?s:.*?)(?:{plain})(?s:.*)$"
     column = f"_re_{name}"
 
+    timed = timestamp_field if timestamp_field in names else ("timestamp" if "timestamp" in names else None)
+
+    def stages(value: Column) -> list[Stage]:
+        out = [{column: captures(value, spanning, compiled.groups)}]
+        if timed:
+            fmt = timestamp_format if timed == timestamp_field else None
+            out.append({f"{column}_time": normalize_timestamp(raw_group(F.col(column), names[timed]), fmt)})
+        return out
+
     def fields() -> dict[str, Column]:
         g = F.col(column)
         value = lambda n: safe_int(group(g, names[n])) if n in NUMERIC_FIELDS else group(g, names[n])
@@ -449,22 +485,21 @@ def regex_format(
         loose: list[Column] = []
         for n in names:
             if n == "timestamp":
-                out[n] = normalize_timestamp(group(g, names[n]))
-            elif n in RECORD_FIELDS and n not in ("attrs", "raw", "format", "parse_error"):
+                continue
+            if n in RECORD_FIELDS and n not in ("attrs", "raw", "format", "parse_error"):
                 kind = RECORD_FIELDS[n]
                 out[n] = safe_int(group(g, names[n])) if isinstance(kind, T.LongType) else value(n)
             else:
                 loose += [F.lit(n), value(n).cast("string")]
-        if timestamp_field and timestamp_field in names:
-            out["timestamp"] = normalize_timestamp(group(g, names[timestamp_field]), timestamp_format)
+        if timed:
+            out["timestamp"] = F.col(f"{column}_time")
         if loose:
             out["attrs"] = F.when(matched(g), F.create_map(*loose))
         return out
 
     return Format(
         name=name, description=f"Custom format: {name}", priority=priority, extensions=extensions,
-        stages=lambda value: [{column: captures(value, spanning, compiled.groups)}],
-        fields=fields, parsed=lambda: matched(F.col(column)), matches=lambda value: matched(F.col(column)),
+        stages=stages, fields=fields, parsed=lambda: matched(F.col(column)), matches=lambda value: matched(F.col(column)),
         raw=lambda value: value, weight=0.95,
     )
 

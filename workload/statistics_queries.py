@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cinderlog.functions.fields import (
     Fields, is_error_level, journey_stage, normalize_level, record_id, safe_int, severity_rank, template_path,
@@ -132,7 +132,13 @@ def _(spark, sf):
     return rows.select("event_id", severity_rank(F.col("severity")).alias("rank"))
 
 
-@query("record_id")
+_WRAP = "((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
+
+
+@query("record_id", log_sql(f"""
+SELECT line_id, COALESCE(strftime(seen, '%Y-%m-%dT%H:%M:%SZ'), '') || '_' || COALESCE(source_ip, '') || '_' || CAST(line_id AS VARCHAR) || '_'
+  || CAST(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(raw, ''), lambda x: unicode(x)::BIGINT)), lambda a, c: {_WRAP})) AS VARCHAR)
+  AS record_id FROM access"""))
 def _(spark, sf):
     a = stored_access(spark, sf)
     return a.select("line_id", record_id(Fields(a), F.col("line_id")).alias("record_id"))
@@ -176,7 +182,7 @@ QUALIFY place <= 500"""))
 def _(spark, sf):
     # The place is taken from the sorted head; a limit is what makes a report of a sort.
     top = explore.sort_records(stored_access(spark, sf), "size", "desc").limit(500)
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc_nulls_last("size"), "line_id")
+    w = Window.orderBy(F.desc_nulls_last("size"), "line_id")
     return top.select("line_id", "size", F.row_number().over(w).cast("bigint").alias("place"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import WHITESPACE, blank_to_null, strip
@@ -195,15 +197,21 @@ FUNNEL_STAGES = ("Landing", "Products", "Product", "Cart", "Checkout")
 STAGES = FUNNEL_STAGES + ("Other",)
 
 
+def _any(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def journey_stage(path: Column) -> Column:
     """Stage of a visit that a path belongs to."""
-    page = F.rtrim(F.get(F.split(F.lower(path), r"\?", 2), F.lit(0)), F.lit("/"))
+    page = F.rtrim(F.substring_index(F.lower(path), "?", 1), F.lit("/"))
+    starts = lambda *words: _any(F.startswith(page, F.lit(w)) for w in words)
+    ends = lambda *words: _any(F.endswith(page, F.lit(w)) for w in words)
     return (
         F.when(page.isin("", "/home", "/index.html", "/index.htm", "/index"), "Landing")
-        .when(page.rlike("^/(products|catalog|category|search)"), "Products")
-        .when(page.rlike("^/(product|item|details)"), "Product")
-        .when((page == "/cart") | page.rlike("/(cart|shopping-cart)$"), "Cart")
-        .when(page.rlike("^/(checkout|pay|billing|purchase)"), "Checkout")
+        .when(starts("/products", "/catalog", "/category", "/search"), "Products")
+        .when(starts("/product", "/item", "/details"), "Product")
+        .when(ends("/cart", "/shopping-cart"), "Cart")
+        .when(starts("/checkout", "/pay", "/billing", "/purchase"), "Checkout")
         .otherwise("Other")
     )
 

@@ -7,18 +7,20 @@ no empty key set needs a cross join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, is_error_level, journey_stage
+from ..functions.fields import FUNNEL_STAGES, LATENCY_ALIASES, STAGES, Fields, is_error_level, journey_stage
 from .context import AnalysisContext
 from .grouping import Keys, ratio
+from .quantiles import percentile_table
 from .security import WATCHED_TARGETS, security_signals, tool_flags
-from .sessions import session_metrics, sessions_with_paths
+from .sessions import session_rollup, sessions_with_paths
 from .statistics import (
     LATENCY_PERCENTILES, SIZE_PERCENTILES, burst_verdict, endpoint_counts, requests_per_second,
 )
-from .quantiles import percentile_table
-from ..functions.fields import LATENCY_ALIASES
 
 # Selectors of single-record measures, in bundle order.
 _FLAT = (
@@ -128,8 +130,56 @@ def to_long(df: DataFrame, keys: Keys, names: dict[str, str]) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _prefixed(prefix: str, df: DataFrame, keys: Keys) -> dict[str, str]:
-    return {c: f"{prefix}.{c}" for c in df.columns if c not in keys}
+def percentile_metrics(records: DataFrame, keys: Keys, ctx: AnalysisContext) -> DataFrame:
+    """Percentiles of latency and both sizes as long rows: the three are ranked together, kind being a key."""
+    f = Fields(records)
+    kinds = {
+        "latency": (f.latency(), LATENCY_PERCENTILES),
+        "distribution.request_sizes": (f.request_size(), SIZE_PERCENTILES),
+        "distribution.response_sizes": (f.response_size(), SIZE_PERCENTILES),
+    }
+    values = records.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("_value")) for kind, (value, _) in kinds.items()
+    ]))).where(F.col("_value").isNotNull())
+    table = percentile_table(values, [*keys, "kind"], F.col("_value"), LATENCY_PERCENTILES, ctx.percentiles)
+    selectors = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(f"{kind}.{name}").alias("selector"), F.col(_column_of(p)).alias("value"))
+        for kind, (_, wanted) in kinds.items() for name, p in wanted.items()
+    ]
+    return (
+        table.select(*keys, "kind", F.explode(F.array(*selectors)).alias("_row"))
+        .where(F.col("_row.kind") == F.col("kind"))
+        .select(*keys, "_row.selector", "_row.value")
+    )
+
+
+def _column_of(percentile: float) -> str:
+    return next(n for n, p in LATENCY_PERCENTILES.items() if p == percentile)
+
+
+def metric_pieces(
+    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()
+) -> list[Callable[[], DataFrame]]:
+    """The independent parts of ``metrics_long``, each a job of its own with the same three columns."""
+
+    def flat() -> DataFrame:
+        return to_long(flat_metrics(records, keys, ctx), keys, {c: c for c in _FLAT})
+
+    def endpoints() -> DataFrame:
+        share = F.max("requests") / F.sum("requests") * 100.0
+        df = endpoint_counts(records, keys).groupBy(*keys).agg(share.alias("share"))
+        return to_long(df, keys, {"share": "endpoint.top_endpoint_share"})
+
+    def bursts() -> DataFrame:
+        df = burst_verdict(requests_per_second(records, keys), keys, ctx)
+        return to_long(df, keys, {s.rsplit(".", 1)[1]: s for s in BURST_SELECTORS})
+
+    def sessions() -> DataFrame:
+        names = {s.rsplit(".", 1)[1]: s for s in SESSION_SELECTORS + BRUTE_FORCE_SELECTORS}
+        names |= {f"saw_{s.lower()}": f"journey.funnel.{s}" for s in FUNNEL_STAGES}
+        return to_long(session_rollup(sessions_with_paths(records, keys, ctx), keys, ctx), keys, names)
+
+    return [flat, sessions, lambda: percentile_metrics(records, keys, ctx), endpoints, bursts]
 
 
 def metrics_long(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
@@ -137,50 +187,7 @@ def metrics_long(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = Ana
 
     ``records`` is read several times: pass parsed records that were written once (``through_table``).
     """
-    f = Fields(records)
-    flat = flat_metrics(records, keys, ctx)
-    endpoints = endpoint_counts(records, keys).groupBy(*keys).agg(
-        (F.max("requests") / F.sum("requests") * 100.0).alias("top_endpoint_share")
-    )
-    bursts = burst_verdict(requests_per_second(records, keys), keys, ctx)
-    latency = percentile_table(records, keys, f.latency(), LATENCY_PERCENTILES, ctx.percentiles)
-    request = percentile_table(records, keys, f.request_size(), SIZE_PERCENTILES, ctx.percentiles)
-    response = percentile_table(records, keys, f.response_size(), SIZE_PERCENTILES, ctx.percentiles)
-    sessions = sessions_with_paths(records, keys, ctx)
-    in_scope = F.col("client_ip") != "-"
-    failing = F.when(in_scope & (F.col("failed_logins") > 0), F.col("client_ip"))
-    locked = F.when(in_scope & (F.col("failed_logins") > ctx.failed_logins), F.col("client_ip"))
-    measured = session_metrics(sessions, keys, ctx)
-    funnel = sessions.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(f"saw_{s.lower()}"), F.lit(0)).alias(s) for s in FUNNEL_STAGES]
-    )
-    # Failures per client first: the count of clients is then a plain sum, however many there are.
-    clients = sessions.groupBy(*keys, "client_ip").agg(
-        F.sum(F.when(in_scope, F.col("failed_logins")).otherwise(0)).alias("_failures"),
-        F.sum(F.when(in_scope, F.col("login_posts")).otherwise(0)).alias("_posts"),
-        F.max(locked.isNotNull().cast("int")).alias("_locked"),
-        F.max(failing.isNotNull().cast("int")).alias("_failing"),
-    )
-    brute = clients.groupBy(*keys).agg(
-        F.round(ratio(F.sum("_failures"), F.sum("_posts")) * 100.0, 2).alias("failure_ratio"),
-        F.sum("_locked").alias("lockout_candidates_count"),
-        F.sum("_failing").alias("failing_ip_count"),
-    )
-    pieces = [
-        to_long(flat, keys, {c: c for c in _FLAT}),
-        to_long(endpoints, keys, _prefixed("endpoint", endpoints, keys)),
-        to_long(bursts, keys, _prefixed("traffic_burst", bursts, keys)),
-        to_long(latency, keys, _prefixed("latency", latency, keys)),
-        to_long(request, keys, _prefixed("distribution.request_sizes", request, keys)),
-        to_long(response, keys, _prefixed("distribution.response_sizes", response, keys)),
-        to_long(measured, keys, _prefixed("session", measured, keys)),
-        to_long(funnel, keys, _prefixed("journey.funnel", funnel, keys)),
-        to_long(brute, keys, _prefixed("security.brute_force", brute, keys)),
-    ]
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out
+    return reduce(DataFrame.unionByName, [piece() for piece in metric_pieces(records, keys, ctx)])
 
 
 def metrics_wide(long: DataFrame, keys: Keys = [], selectors: tuple[str, ...] = SELECTORS) -> DataFrame:

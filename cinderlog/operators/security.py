@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import Fields
@@ -20,11 +23,30 @@ SIGNATURES = {
 PROBE_PATHS = (
     r"(?iu)\.env|\.git|wp-admin|wp-login\.php|config\.php|backup\.zip|phpinfo|cgi-bin|setup\.php|admin/config"
 )
+# Words without which a signature cannot match (lower case): one of the groups, every word of it.
+_NEEDED = {
+    "sqli": (("union",), ("or", "=")),
+    "xss": (("<script",), ("javascript:",), ("onerror",), ("onload",)),
+    "traversal": (("../",), ("..\\",), ("%2e%2e",)),
+    "rce": (("${jndi:",), ("cmd", "="), ("powershell",), ("base64",)),
+}
+_NEEDED_IN_PROBE = tuple((word,) for word in (
+    ".env", ".git", "wp-admin", "wp-login.php", "config.php", "backup.zip", "phpinfo", "cgi-bin", "setup.php", "admin/config",
+))
 AUTOMATION_AGENTS = ("headlesschrome", "phantomjs", "puppeteer", "selenium", "playwright")
 WATCHED_TARGETS = ("/wp-admin", "/.env", "/.git", "/api/v1/auth/login", "/config.php", "backup.zip")
 TOOLS = ("Nikto", "Playwright (headless)", "Go-http-client", "curl")
 
 
+def _gated(text: Column, lower: Column, ascii_only: Column, pattern: str, needed: tuple[tuple[str, ...], ...]) -> Column:
+    """``text.rlike(pattern)``, the pattern run only where the words it needs are there.
+
+    Case folding beyond ASCII is left to the pattern: such text always runs it.
+    """
+    possible = reduce(or_, [reduce(and_, [F.contains(lower, F.lit(w)) for w in group]) for group in needed])
+    return F.when(ascii_only & ~possible, F.lit(False)).otherwise(text.rlike(pattern))
+
+
 def security_signals(records: DataFrame, keys: Keys = [], also: dict[str, Column] | None = None) -> DataFrame:
     """Records that parsed, with one boolean per signature and indicator. The payload is decoded once."""
     f = Fields(records)
@@ -41,15 +63,23 @@ def security_signals(records: DataFrame, keys: Keys = [], also: dict[str, Column
         f.status_or_200().alias("status_code"),
         agent.alias("_agent"),
         payload.alias("_payload"),
-    )
+    ).withColumns({
+        "_lower": F.lower("_payload"),
+        "_ascii": F.octet_length("_payload") == F.char_length("_payload"),
+        "_lower_path": F.lower("path"),
+        "_ascii_path": F.octet_length("path") == F.char_length("path"),
+    })
     no_agent = (F.col("_agent") == "") | (F.col("_agent") == "-")
     return rows.withColumns({
-        **{name: F.col("_payload").rlike(pattern) for name, pattern in SIGNATURES.items()},
-        "probe": F.col("path").rlike(PROBE_PATHS),
+        **{
+            name: _gated(F.col("_payload"), F.col("_lower"), F.col("_ascii"), pattern, _NEEDED[name])
+            for name, pattern in SIGNATURES.items()
+        },
+        "probe": _gated(F.col("path"), F.col("_lower_path"), F.col("_ascii_path"), PROBE_PATHS, _NEEDED_IN_PROBE),
         "not_found": F.col("status_code") == 404,
         "no_agent": no_agent,
         "headless": ~no_agent & contains_any(F.lower("_agent"), AUTOMATION_AGENTS),
-    }).drop("_payload")
+    }).drop("_payload", "_lower", "_ascii", "_lower_path", "_ascii_path")
 
 
 def injection_counts(records: DataFrame, keys: Keys = []) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, journey_stage
 from ..functions.text import contains_any
 from .context import AnalysisContext
-from .grouping import Keys, with_totals
+from .grouping import Keys, ratio, with_totals
 
 # Words that mark a login path, and statuses that mark a refused request.
 LOGIN_WORDS = ("login", "auth", "signin")
@@ -209,6 +209,46 @@ def session_metrics(sessions: DataFrame, keys: Keys = [], ctx: AnalysisContext =
     )
 
 
+def session_rollup(sessions: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
+    """Session measures, funnel reach and failed-login measures from one reading of the sessions.
+
+    Sessions are first combined per client, so the counts of clients are plain sums, however many there are.
+    """
+    is_named = F.col("client_ip") != "-"
+    failures = F.col("failed_logins")
+    clients = sessions.groupBy(*keys, "client_ip").agg(
+        F.count(F.lit(1)).alias("_sessions"),
+        F.sum("duration_seconds").alias("_duration"),
+        F.max("duration_seconds").alias("_longest"),
+        F.count_if(F.col("request_count") == 1).alias("_bounces"),
+        F.sum("distinct_paths").alias("_pages"),
+        F.sum("request_count").alias("_requests"),
+        F.count_if(is_bot(ctx)).alias("_bots"),
+        F.count_if(failures > ctx.failed_logins).alias("_stuffing"),
+        F.count_if(F.col("distinct_paths") > ctx.distinct_paths).alias("_enumerating"),
+        *[F.sum(seen).alias(seen) for seen in _SEEN],
+        F.sum(failures).alias("_failures"),
+        F.sum("login_posts").alias("_posts"),
+    )
+    total = F.sum("_sessions")
+    named_sum = lambda c: F.coalesce(F.sum(F.when(is_named, F.col(c))), F.lit(0))
+    return clients.groupBy(*keys).agg(
+        total.alias("active_sessions_count"),
+        F.round(F.coalesce(F.sum("_duration") / total, F.lit(0.0)), 2).alias("average_session_duration_seconds"),
+        F.round(F.coalesce(F.max("_longest"), F.lit(0.0)), 2).alias("longest_session_duration_seconds"),
+        F.round(F.coalesce(F.sum("_bounces") / total * 100.0, F.lit(0.0)), 2).alias("bounce_rate"),
+        F.round(F.coalesce(F.sum("_pages") / total, F.lit(0.0)), 2).alias("pages_per_session"),
+        F.round(F.coalesce(F.sum("_requests") / total, F.lit(0.0)), 2).alias("requests_per_session"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (
+            ("_bots", "possible_bot_count"), ("_stuffing", "credential_stuffing_count"),
+            ("_enumerating", "endpoint_enumeration_count"))],
+        *[F.coalesce(F.sum(seen), F.lit(0)).alias(seen) for seen in _SEEN],
+        F.round(ratio(named_sum("_failures"), named_sum("_posts")) * 100.0, 2).alias("failure_ratio"),
+        F.count_if(is_named & (F.col("_stuffing") > 0)).alias("lockout_candidates_count"),
+        F.count_if(is_named & (F.col("_failures") > 0)).alias("failing_ip_count"),
+    )
+
+
 def bot_sessions(sessions: DataFrame, ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
     return sessions.where(is_bot(ctx))
 

@@ -12,9 +12,9 @@ from ..operators.grouping import Keys
 from ..operators.incidents import (
     affected_ips, correlate_incidents, health_scores, incident_timeline,
 )
-from ..operators.metrics import metrics_long
+from ..operators.metrics import metric_pieces
 from ..operators.rules import BUILTIN_RULES, Rule, evaluate_rules, rules_table
-from ..session import through_table
+from ..session import through_tables
 from .plugins import extra_metrics
 
 
@@ -47,10 +47,8 @@ def measure(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = Analysis
 
     It has one small row set per key; what follows reads it several times.
     """
-    long = metrics_long(records, keys, ctx)
-    for extra in extra_metrics(records, keys, ctx):
-        long = long.unionByName(extra)
-    return through_table(long, "metrics")
+    extra = [lambda df=df: df for df in extra_metrics(records, keys, ctx)]
+    return through_tables(records.sparkSession, metric_pieces(records, keys, ctx) + extra, "metrics")
 
 
 def analyze(

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on; everything else is left to the cluster.
@@ -15,6 +18,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Settings that can only be given when a session is started.
+LAUNCH_SETTINGS = {
+    # Capturing the call site of every column costs more than planning does for jobs with many columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 #: Largest side that may carry a broadcast hint (rows are narrow: a path and a few scalars).
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -28,7 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **LAUNCH_SETTINGS}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -59,6 +68,25 @@ def through_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def through_tables(spark: SparkSession, jobs: list[Callable[[], DataFrame]], label: str) -> DataFrame:
+    """Run independent jobs side by side, each writing its rows, and read all of them as one table.
+
+    The jobs give the same columns. Side by side they fill a cluster that one of them would leave idle.
+    """
+    root = scratch_dir(spark, label)
+
+    def run(numbered: tuple[int, Callable[[], DataFrame]]) -> tuple[str, object]:
+        number, job = numbered
+        df, path = job(), f"{root}/part={number}"
+        df.write.parquet(path)
+        return path, df.schema
+
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(run), enumerate(jobs)))
+    schema = done[0][1]
+    return spark.read.schema(schema).parquet(*[path for path, _ in done])
+
+
 def broadcast_when_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting that the side is bounded; otherwise leave a shuffle join.
 

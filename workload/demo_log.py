@@ -126,9 +126,15 @@ _DUCK = _layers(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer files than cores dealt over the cores; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def demo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers as columns; Spark prunes what a query does not use."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     for layer in _SPARK:
         df = df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in layer])
     return df

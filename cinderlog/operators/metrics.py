@@ -75,8 +75,8 @@ def _signals(records: DataFrame, keys: Keys) -> DataFrame:
     extra = {
         "bad": F.col("_bad"),
         "volume": f.volume(),
-        "level": f.level(),
-        "code": code,
+        "is_error": is_error_level(f.level()),
+        "status_class": F.substring(code.cast("string"), 1, 1),
         "latency": f.latency(),
         "request_size": f.request_size(),
         "response_size": f.response_size(),
@@ -93,8 +93,8 @@ def flat_metrics(records: DataFrame, keys: Keys, ctx: AnalysisContext) -> DataFr
     total = F.count(F.lit(1))
     ok = ~F.col("bad")
     n_if = lambda c: F.count_if(ok & c)
-    errors = F.count_if(is_error_level(F.col("level")))
-    digit = F.substring(F.col("code").cast("string"), 1, 1)
+    errors = F.count_if("is_error")
+    digit = F.col("status_class")
     fives = F.count_if(digit == "5")
     sent = F.coalesce(F.sum("response_size"), F.lit(0))
     sizes = lambda c: [F.count(c), F.avg(c), F.min(c), F.max(c)]

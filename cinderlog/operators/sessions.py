@@ -50,20 +50,24 @@ def is_failed_login(method: Column, path: Column, status: Column) -> Column:
     return status.isin(*REFUSED) | ((method == "POST") & is_login_path(path) & (status >= 400))
 
 
-def _measures() -> dict[str, Column]:
-    post_login = (F.col("method") == "POST") & is_login_path(F.col("path"))
-    failed = is_failed_login(F.col("method"), F.col("path"), F.col("status_code"))
-    stage = journey_stage(F.col("path"))
-    return {
-        "request_count": F.count(F.lit(1)),
-        "failed_logins": F.count_if(failed),
-        "login_posts": F.count_if(post_login),
-        "refused": F.count_if(F.col("status_code").isin(*REFUSED)),
-        **{f"saw_{s.lower()}": F.max((stage == s).cast("int")) for s in FUNNEL_STAGES},
-    }
-
-
-_ADDED = ("request_count", "failed_logins", "login_posts", "refused")
+def _marked_visits(records: DataFrame, keys: Keys) -> DataFrame:
+    """Visits with everything a session sums up, each worked out once per request."""
+    login = F.col("_login")
+    post = F.col("method") == "POST"
+    return (
+        visits(records, keys)
+        .withColumns({"_login": is_login_path(F.col("path")), "_stage": journey_stage(F.col("path"))})
+        .withColumns({
+            "refused": F.col("status_code").isin(*REFUSED).cast("bigint"),
+            "login_posts": (post & login).cast("bigint"),
+            "failed_logins": (F.col("status_code").isin(*REFUSED) | (post & login & (F.col("status_code") >= 400))).cast("bigint"),
+            **{f"saw_{s.lower()}": (F.col("_stage") == s).cast("int") for s in FUNNEL_STAGES},
+        })
+        .drop("_login", "_stage")
+    )
+
+
+_ADDED = ("failed_logins", "login_posts", "refused")
 _SEEN = tuple(f"saw_{s.lower()}" for s in FUNNEL_STAGES)
 
 
@@ -78,13 +82,14 @@ def _seconds(later: Column, earlier: Column) -> Column:
 def session_slots(records: DataFrame, keys: Keys = [], gap: int = 1800) -> DataFrame:
     """Named clients' requests per client and slot, numbered with the session they belong to."""
     slots = (
-        visits(records, keys)
+        _marked_visits(records, keys)
         .where(F.col("client_ip") != "-")
         .withColumn("slot", _slot(F.col("time"), gap))
         .groupBy(*keys, "client_ip", "slot")
         .agg(
             F.min("time").alias("start_time"), F.max("time").alias("end_time"),
-            *[m.alias(n) for n, m in _measures().items()],
+            F.count(F.lit(1)).alias("request_count"),
+            *[F.sum(n).alias(n) for n in _ADDED], *[F.max(n).alias(n) for n in _SEEN],
         )
     )
     return _number_sessions(slots, keys, gap)
@@ -113,14 +118,12 @@ def session_table(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = An
         .groupBy(*keys, "client_ip", "session_index")
         .agg(
             F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+            F.sum("request_count").alias("request_count"),
             *[F.sum(n).alias(n) for n in _ADDED], *[F.max(n).alias(n) for n in _SEEN],
         )
         .withColumn("session_id", _session_id(F.col("client_ip"), F.col("session_index")))
     )
-    single = visits(records, keys).where(F.col("client_ip") == "-")
-    failed = is_failed_login(F.col("method"), F.col("path"), F.col("status_code"))
-    post_login = (F.col("method") == "POST") & is_login_path(F.col("path"))
-    stage = journey_stage(F.col("path"))
+    single = _marked_visits(records, keys).where(F.col("client_ip") == "-")
     unnamed = single.select(
         *keys,
         "client_ip",
@@ -128,10 +131,8 @@ def session_table(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = An
         F.col("time").alias("start_time"),
         F.col("time").alias("end_time"),
         F.lit(1).cast("bigint").alias("request_count"),
-        failed.cast("bigint").alias("failed_logins"),
-        post_login.cast("bigint").alias("login_posts"),
-        F.col("status_code").isin(*REFUSED).cast("bigint").alias("refused"),
-        *[(stage == s).cast("int").alias(f"saw_{s.lower()}") for s in FUNNEL_STAGES],
+        *_ADDED,
+        *_SEEN,
         F.concat(F.lit("session_anon_"), F.col("line_id").cast("string")).alias("session_id"),
     )
     return named.unionByName(unnamed).withColumn(

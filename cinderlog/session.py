@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods above this size; wide projections then run in smaller methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 #: Settings that can only be given when a session is started.

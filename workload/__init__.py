@@ -7,6 +7,6 @@ def load_all():
 
     from . import catalog
 
-    for name in ("parsing_queries", "statistics_queries", "session_queries", "rule_queries"):
+    for name in ("parsing_queries", "statistics_queries", "session_queries", "rule_queries", "stream_queries"):
         importlib.import_module(f"{__name__}.{name}")
     return catalog

@@ -69,7 +69,7 @@ def _m(name: str) -> Column:
 
 
 def _one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", value)
+    return F.format_string("%.1f", F.round(value, 1))
 
 
 def capability_tests() -> dict[str, Column]:

@@ -368,11 +368,11 @@ def _(spark, sf):
 SELECT {_H}, kind AS incident_class, concat_ws('|',
   CASE WHEN kind = 'security' AND headless > 0 THEN '[+] Headless browser fingerprint footprint detected' END,
   CASE WHEN kind = 'security' AND probes > 0 THEN '[+] Sensitive probe paths (.env, wp-admin, config) accessed' END,
-  CASE WHEN kind = 'security' AND missing > 0 THEN '[+] Abnormally high 404 response ratio (' || printf('%.1f', missing) || '%)' END,
+  CASE WHEN kind = 'security' AND missing > 0 THEN '[+] Abnormally high 404 response ratio (' || printf('%.1f', ROUND(missing, 1)) || '%)' END,
   CASE WHEN kind = 'security' AND failing > 0 THEN '[+] Multiple failed authentication attempts (' || CAST(failing AS BIGINT) || ' source IPs)' END,
   CASE WHEN kind = 'security' AND nikto > 0 THEN '[+] Known security scanner User-Agent (Nikto)' END,
-  CASE WHEN kind = 'performance' AND p99 <> 0 THEN '[+] High P99 Latency (' || printf('%.1f', p99) || 'ms)' END,
-  CASE WHEN kind = 'performance' AND errors > 0 THEN '[+] Elevated error rate (' || printf('%.1f', error_ratio * 100.0) || '%)' END,
+  CASE WHEN kind = 'performance' AND p99 <> 0 THEN '[+] High P99 Latency (' || printf('%.1f', ROUND(p99, 1)) || 'ms)' END,
+  CASE WHEN kind = 'performance' AND errors > 0 THEN '[+] Elevated error rate (' || printf('%.1f', ROUND(error_ratio * 100.0, 1)) || '%)' END,
   CASE WHEN n_evidence = 0 AND kind = 'security' THEN '[+] ' || n || ' correlated security rule alerts co-occurring' END,
   CASE WHEN n_evidence = 0 AND kind = 'performance' THEN '[+] ' || n || ' performance/reliability SLA threshold breaches' END) AS evidence FROM evidence""", *CTES))
 def _(spark, sf):

@@ -86,7 +86,7 @@ def _(spark, sf):
 
 @query("stream_sessions", log_sql(f"""
 SELECT client_ip, {duck_stamp('start_time')} AS start_time, {duck_stamp('end_time')} AS end_time, request_count, failed_logins, login_posts
-FROM session WHERE client_ip <> '-' AND session.end_time + INTERVAL 30 MINUTES <= (SELECT MAX(seen) FROM access) - INTERVAL 10 MINUTES""", SESSION_CTE))
+FROM session WHERE client_ip <> '-' AND session.end_time + INTERVAL 30 MINUTES <= (SELECT MAX(seen) FROM access WHERE source_ip <> '-') - INTERVAL 10 MINUTES""", SESSION_CTE))
 def _(spark, sf):
     records = jobs.stream_parse(spark, _folder(spark, sf), "nginx")
     return _table(spark, jobs.closed_sessions(records)).select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.text import strip
 from ..operators.formats import windows_row_fields, windows_row_raw
 from ..schema import RECORD_FIELDS, null_of
-from ..session import broadcast_when_small
+from ..session import broadcast_when_small, through_table
 
 # Accepted suffixes and byte limits.
 LOG_SUFFIXES = (".log", ".txt", ".json", ".csv", ".gz")
@@ -54,6 +54,8 @@ def _as_latin1(value: Column) -> Column:
 def latin1_fallback(lines: DataFrame) -> DataFrame:
     """Read every file that holds a line outside UTF-8 as Latin-1, all of it."""
     odd = lines.where(~F.is_valid_utf8("value")).select("source_file").distinct().withColumn("_latin1", F.lit(True))
+    # Written: it is both counted and joined, and finding it takes a scan.
+    odd = through_table(odd, "latin1-files")
     joined = lines.join(broadcast_when_small(odd), "source_file", "left")
     value = F.when(F.col("_latin1"), _as_latin1(F.col("value"))).otherwise(F.col("value"))
     return joined.withColumn("value", value).select(*lines.columns)
@@ -62,7 +64,8 @@ def latin1_fallback(lines: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``source_file`` and ``bytes`` of each file; contents are not read."""
     return spark.read.format("binaryFile").load(paths).select(
-        F.col("path").alias("source_file"), F.col("length").alias("bytes")
+        # Spelled as the lines' source_file is, so the two join.
+        F.col("_metadata.file_path").alias("source_file"), F.col("length").alias("bytes")
     )
 
 

@@ -77,3 +77,13 @@ def test_parse_auto_is_one_pass(spark, lines):
     assert rows[("b.log", False)].logger == "django.request" and rows[("c.log", True)].raw == "junk"
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Union") == 0 and "BroadcastHashJoin" in plan
+
+
+def test_folder_to_records(spark, tmp_path):
+    (tmp_path / "web site").mkdir()
+    (tmp_path / "web site" / "a b.log").write_text(f"{NGINX}\nbad\n{NGINX}\n")
+    (tmp_path / "app.log").write_text(f"{APP}\n" * 3)
+    winners = detect(read_heads(list_files(spark, [str(tmp_path), str(tmp_path / "web site")])))
+    records = parse_auto(read_log_lines(spark, [str(tmp_path), str(tmp_path / "web site")]), winners)
+    counts = {(r.format, r.parse_error): r["count"] for r in records.groupBy("format", "parse_error").count().collect()}
+    assert counts == {("nginx", False): 2, ("nginx", True): 1, ("django", False): 3}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import through_table
 from .grouping import Keys
 
 #: Buckets per doubling of the value.
@@ -22,13 +23,14 @@ def _bucket(value: Column) -> Column:
 
 def exact_percentiles(df: DataFrame, keys: Keys, value: Column, percentiles: dict[str, float]) -> DataFrame:
     """``keys`` + one column per name in ``percentiles`` (0 to 100); no row for a group without values."""
-    counts = (
+    counted = (
         df.select(*keys, value.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", _bucket(F.col("_v")))
     )
+    # Read twice below; written, so the input is scanned and shuffled once.
+    counts = through_table(counted, "value-counts").withColumn("_b", _bucket(F.col("_v")))
     per_key = Window.partitionBy(*keys)
     ordered = per_key.orderBy("_b")
     buckets = (

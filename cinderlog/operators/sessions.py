@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, journey_stage
 from ..functions.text import contains_any
+from ..session import through_table
 from .context import AnalysisContext
 from .grouping import Keys, ratio, with_totals
 
@@ -108,13 +109,16 @@ def _session_id(ip: Column, index: Column) -> Column:
     return F.concat_ws("_", F.lit("session"), F.replace(ip, F.lit("."), F.lit("_")), index.cast("string"))
 
 
-def session_table(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
+def session_table(
+    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext(), slots: DataFrame | None = None
+) -> DataFrame:
     """One row per session: id, client, start, end, duration and counts.
 
-    Requests of unnamed clients (``-``) are sessions of their own, named after their line.
+    Requests of unnamed clients (``-``) are sessions of their own, named after their line. ``slots`` is
+    ``session_slots`` where the caller has it already.
     """
     named = (
-        session_slots(records, keys, ctx.session_gap_seconds)
+        (session_slots(records, keys, ctx.session_gap_seconds) if slots is None else slots)
         .groupBy(*keys, "client_ip", "session_index")
         .agg(
             F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
@@ -140,7 +144,9 @@ def session_table(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = An
     )
 
 
-def session_paths(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
+def session_paths(
+    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext(), slots: DataFrame | None = None
+) -> DataFrame:
     """Distinct paths per named session. Paths are made distinct per slot first, so slots stay small."""
     gap = ctx.session_gap_seconds
     seen = (
@@ -149,7 +155,8 @@ def session_paths(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = An
         .select(*keys, "client_ip", _slot(F.col("time"), gap).alias("slot"), "path")
         .distinct()
     )
-    numbered = session_slots(records, keys, gap).select(*keys, "client_ip", "slot", "session_index")
+    slots = session_slots(records, keys, gap) if slots is None else slots
+    numbered = slots.select(*keys, "client_ip", "slot", "session_index")
     return (
         seen.join(numbered, [*keys, "client_ip", "slot"])
         .groupBy(*keys, "client_ip", "session_index")
@@ -159,9 +166,11 @@ def session_paths(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = An
 
 def sessions_with_paths(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
     """``session_table`` with ``distinct_paths``; an unnamed request has one path."""
-    table = session_table(records, keys, ctx)
+    # Written: two jobs read the numbered slots, which are few and costly to number.
+    slots = through_table(session_slots(records, keys, ctx.session_gap_seconds), "slots")
+    table = session_table(records, keys, ctx, slots)
     return table.join(
-        session_paths(records, keys, ctx), [*keys, "client_ip", "session_index"], "left"
+        session_paths(records, keys, ctx, slots), [*keys, "client_ip", "session_index"], "left"
     ).withColumn("distinct_paths", F.coalesce("distinct_paths", F.lit(1)))
 
 
@@ -333,13 +342,18 @@ def journey_steps(
         named.select(*part, "time", "line_id", "stage")
         .withColumn("_starts", F.when(previous.isNull() | (previous != F.col("stage")), 1).otherwise(0))
         .withColumn("_nth", F.sum("_starts").over(in_slot))
+        .withColumn("_slot_end", F.max("time").over(Window.partitionBy(*part)))
+        .where(F.col("_starts") == 1)
+        .drop("_starts")
     )
+    # Only rows that start a step are left. They are read twice below; written, the log is ordered once.
+    starts = through_table(marked, "steps")
     order = F.struct("time", "line_id")
     edges = _number_sessions(
-        marked.groupBy(*part).agg(
-            F.min("time").alias("start_time"), F.max("time").alias("end_time"),
+        starts.groupBy(*part).agg(
+            F.min("time").alias("start_time"), F.max("_slot_end").alias("end_time"),
             F.min_by("stage", order).alias("_first"), F.max_by("stage", order).alias("_last"),
-            F.sum("_starts").alias("_steps"),
+            F.count(F.lit(1)).alias("_steps"),
         ),
         keys, ctx.session_gap_seconds,
     )
@@ -349,8 +363,7 @@ def journey_steps(
     own = F.col("_steps") - F.col("_continues")
     edges = edges.withColumn("_offset", F.sum(own).over(session) - own)
     steps = (
-        marked.where(F.col("_starts") == 1)
-        .join(edges.select(*part, "session_index", "_continues", "_offset"), part)
+        starts.join(edges.select(*part, "session_index", "_continues", "_offset"), part)
         .where(F.col("_nth") > F.col("_continues"))
         .select(
             *keys, "client_ip",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, neighbours, packing, quality, tokens, vector_join
+from . import language, line_dedup, mixing, neighbours, packing, quality, tokens, vector_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of several lines that stand in an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated(docs)
+
+
+ORACLES["op5_line_dedup"] = line_dedup.SQL
+
+
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document."""

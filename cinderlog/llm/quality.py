@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import columns_of, mixed, slices, texts_of
+from .powers import powers
 
 #: Documents that the fit uses at most, the first by a hash of their id, and lines of a document that it may use.
 SAMPLE, SAMPLE_LINES = 3000, 400
@@ -63,7 +64,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     glued = np.zeros(len(starts))
     if len(begin):
         value = mixed(points.astype(np.uint64) + np.uint64(7))
-        power = _powers(len(points))
+        power = powers(len(points))
         sums = np.append(np.uint64(0), np.cumsum(value * power[0][: len(points)]))
         word = (sums[close] - sums[begin]) * power[1][begin]
         line = np.searchsorted(ends, begin)
@@ -89,19 +90,6 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out, length + 1, lines
 
 
-@functools.lru_cache(maxsize=1)
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0xD6E8FEB86659FD93
-    return tuple(
-        np.cumprod(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))
-    )
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    return _table(1 << max(21, (n - 1).bit_length()))
-
-
 def with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """Each line's features, then those of the line before and after; zeros beyond the document."""
     first = np.zeros(len(x), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, line_dedup, mixing, neighbours, packing, quality, tokens, vector_join
+from . import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, tokens, vector_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def vocabulary(name: str) -> str:
         return file.read()
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of four-word shingles that link at a Jaccard similarity of 0.85, over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others, by inner product."""

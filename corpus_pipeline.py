@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinderlog.llm import language, mixing, packing, quality
+from cinderlog.llm import language, line_dedup, mixing, ngram_join, packing, quality
 from cinderlog.llm.common import table, written
 from cinderlog.llm.queries import vocabulary
 
@@ -23,6 +23,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, field).where("predicted = 1").select(*docs.columns)
 
 
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand in an earlier one; those of which nothing is left go."""
+    cut = line_dedup.remove_repeated(docs)
+    return cut.where("n_lines = 0 OR kept_lines > 0").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the first of those with the smallest id."""
+    found = ngram_join.link(docs)
+    order = F.struct("doc_id", "row")
+    alone = found.where("n_shingles = 0").select("row")
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    kept = docs.withColumn("row", F.monotonically_increasing_id()).join(alone.unionByName(first), "row", "left_semi")
+    return kept.select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes, none of those that it leaves out."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", mixing.words("text")), "mix-input")
@@ -39,6 +55,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", keep_quality),
+    ("line_dedup", cut_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_group),
     ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]

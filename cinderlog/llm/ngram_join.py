@@ -28,6 +28,8 @@ from .shingles import shingle_sets
 
 #: The most frequent shingles that are put last; which they are only matters for speed. Their share of all hashes that is counted.
 FREQUENT, COUNTED = 1 << 18, 0.3
+#: Buckets of the filter that goes before a join with texts.
+FILTER = 1 << 18
 _HELD = 2_000_000
 _LIGHT = 1 << 61  # added to frequent shingles, whose hashes have 61 bits then
 
@@ -136,7 +138,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["shingle", "node", "place"])
 
     index = written(rows.select("text").mapInArrow(entries, "shingle long, node long, place long"), "index")
-    shared = index.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("shingle")
+    shared = index.groupBy("shingle").count().where("count > 1").select("shingle")
     band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(100 / percent)))
     lists = index.join(shared, "shingle").select("shingle", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("at"))
     lists = written(lists.withColumn("band", band(F.col("n")).cast("int")), "lists")
@@ -150,7 +152,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
                 found = [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(1)), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
 
-        chosen = rows.select("row", "text").join(wanted, "row").select("node", "text")
+        # At most FILTER numbers go to every task, to leave most other texts where they are.
+        bucket = F.pmod(F.xxhash64("row"), F.lit(FILTER)).alias("bucket")
+        wanted = written(wanted, f"{label}-rows")
+        few = F.broadcast(wanted.select(bucket).distinct())
+        chosen = rows.select("row", "text", bucket).join(few, "bucket", "left_semi").join(wanted, "row").select("node", "text")
         return written(chosen.mapInArrow(whole, "node long, s array<long>"), label)
 
     def compared(pairs: DataFrame, label: str, *more: Column) -> DataFrame:
@@ -167,10 +173,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     fronted = lists.join(front, "node")
     lead = fronted.groupBy("shingle", "band").agg(F.min(F.struct("front", "node", "n")).alias("lead"))
     led = fronted.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(lead, ["shingle", "band"]).where(F.col("node") != F.col("lead.node"))
-    led = led.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("lead.n").alias("m"))
+    led = led.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("lead.n").alias("m"), F.max("shingle").alias("last"))
     left_over = lambda n: F.floor(n * percent / 100 - 1e-9)  # what is not indexed, at most
     alike = _enough(F.col("c") + F.greatest(left_over(F.col("n")), left_over(F.col("m"))), F.col("n"), F.col("m"), percent)
-    led = led.where(alike | (F.col("c") * 4 >= F.col("n") - left_over(F.col("n"))))
+    # Whoever meets a leader at a frequent shingle joins its group: long lists are left to the groups' differences.
+    led = led.where(alike | (F.col("c") * 4 >= F.col("n") - left_over(F.col("n"))) | (F.col("last") >= _LIGHT))
     first = led.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")).select(F.col("node").alias("x"), F.col("leader").alias("y"))
     first = written(first, "leaders")
     groups = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -191,17 +198,31 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     linked = members.where("central AND node <> best").select(F.col("node").alias("a"), F.col("best").alias("b"))
     own = members.select("hub", "node", "spare", "central", F.size("difference").alias("d"), F.posexplode("difference").alias("at", "shingle"))
     own = own.withColumn("rest", F.col("d") - F.col("at"))
+    one = members.select(F.col("node").alias("x"), F.col("difference").alias("dx"), F.col("spare").alias("spare_x"))
+    two = members.select(F.col("node").alias("y"), F.col("difference").alias("dy"), F.col("spare").alias("spare_y"))
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Links among pairs of members, by their differences."""
+        both = pairs.join(one, "x").join(two, "y")
+        both = both.where(F.size(F.array_intersect("dx", "dy")) * 2 * (100 + percent) >= -(F.col("spare_x") + F.col("spare_y")))
+        return both.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    # Copies of a changed copy: each meets the first of its list, so that their links among themselves need no pairs.
+    chief = own.groupBy("hub", "shingle").agg(F.max(F.struct("spare", "node")).alias("chief"))
+    meet = own.join(chief, ["hub", "shingle"]).where((F.col("node") != F.col("chief.node")) & ~F.col("central"))
+    meet = meet.groupBy("node").agg(F.max_by("chief", F.struct("rest", "chief")).alias("early"), F.min_by("chief", F.struct("rest", "chief")).alias("late"))
+    meet = meet.select(F.col("node").alias("x"), F.explode(F.array("early.node", "late.node")).alias("y")).distinct()
+    linked = written(linked.unionByName(told(meet)), "first-links")
+    parts = components(linked)
+    own = own.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     near, far = own.where(F.col("rest") * (100 + percent) >= -F.col("spare")).alias("p"), own.alias("q")
     meet = near.join(far, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.shingle") == F.col("q.shingle"))).where(
         ((F.col("p.spare") > F.col("q.spare")) | ((F.col("p.spare") == F.col("q.spare")) & (F.col("p.node") < F.col("q.node"))))
-        & ~(F.col("p.central") & F.col("q.central"))
+        & (F.col("p.root") != F.col("q.root"))
         & (F.least("p.rest", "q.rest") * 2 * (100 + percent) >= -(F.col("p.spare") + F.col("q.spare")))
     )
-    meet = meet.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct()
-    one = members.select(F.col("node").alias("x"), F.col("difference").alias("dx"), F.col("spare").alias("spare_x"))
-    two = members.select(F.col("node").alias("y"), F.col("difference").alias("dy"), F.col("spare").alias("spare_y"))
-    meet = meet.join(one, "x").join(two, "y").where(F.size(F.array_intersect("dx", "dy")) * 2 * (100 + percent) >= -(F.col("spare_x") + F.col("spare_y")))
-    linked = written(linked.unionByName(meet.select(F.col("x").alias("a"), F.col("y").alias("b"))), "group-links")
+    meet = told(meet.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct())
+    linked = written(linked.unionByName(meet), "group-links")
     roots = components(linked)
 
     # Lists that join different groups.

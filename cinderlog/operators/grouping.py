@@ -15,10 +15,20 @@ def ranked_per_key(df: DataFrame, keys: Keys, order: list[Column], n: int) -> Da
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL is a key like any other; the keys appear once."""
+    names = [f"_right_{i}" for i in range(len(keys))]
+    right = right.withColumnsRenamed(dict(zip(keys, names)))
+    same = F.lit(True)
+    for key, name in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return left.join(right, same, how).drop(*names)
+
+
 def with_totals(df: DataFrame, totals: DataFrame, keys: Keys) -> DataFrame:
     """Add the columns of ``totals`` (one row per key): a scalar subquery without keys, an equi-join with."""
     if keys:
-        return df.join(totals, keys)
+        return join_on(df, totals, keys)
     names = [c for c in totals.columns if c not in keys]
     return df.select("*", *[totals.select(n).scalar().alias(n) for n in names])
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strip
 from ..schema import LINE_COLUMNS, RECORD_FIELDS, null_of, require_columns
-from ..session import broadcast_when_small
 from .formats import DEFAULT_YEAR, Format, known_formats
 
 # Fixed value: the line boundaries Python's str.splitlines() knows.
@@ -38,10 +37,10 @@ def parse_with_formats(lines: DataFrame, year: int = DEFAULT_YEAR) -> DataFrame:
 def parse_auto(lines: DataFrame, winners: DataFrame, year: int = DEFAULT_YEAR) -> DataFrame:
     """Parse each file with its detected format.
 
-    ``winners`` has one row per file (``source_file``, ``format``). It is broadcast only when its row
-    count is checked to be small, so the lines are not shuffled; past that it is a plain join.
+    ``winners`` has one row per file (``source_file``, ``format``). Spark broadcasts it as long as its size
+    in bytes allows, so the lines are not shuffled; past that it is a plain join.
     """
-    side = broadcast_when_small(winners.select("source_file", "format"))
+    side = winners.select("source_file", "format")
     return parse_with_formats(lines.drop("format").join(side, "source_file", "left"), year)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import through_table
-from .grouping import Keys
+from .grouping import Keys, join_on
 
 #: Buckets per doubling of the value.
 _FINENESS = 64
@@ -57,7 +57,7 @@ def exact_percentiles(df: DataFrame, keys: Keys, value: Column, percentiles: dic
             wanted = wanted | holds(edge, F.col("_before"), F.col("_bn"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")
     values = (
-        counts.join(buckets.where(wanted), [*keys, "_b"])
+        join_on(counts, buckets.where(wanted).select(*keys, "_b", "_bn", "_before", "_total"), [*keys, "_b"])
         .withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
     )
     at = lambda index: F.max(F.when(holds(index, F.col("_start"), F.col("_n")), F.col("_v")))

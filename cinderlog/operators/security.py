@@ -8,18 +8,21 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import Fields
-from ..functions.text import contains_any, url_decode_lenient
+from ..functions.text import WHITESPACE, contains_any, url_decode_lenient
 from .context import AnalysisContext
 from .grouping import Keys, ranked_per_key, ratio
 
+#: White space in signatures: beyond ASCII, too.
+_BLANK = f"[{WHITESPACE}]"
 
 # Payload signatures by class, probe paths, automation agents, tools and watched targets.
-SIGNATURES = {
+_PATTERNS = {
     "sqli": r"(?iu)union\s+select|union\s+all\s+select|or\s+1\s*=\s*1|or\s+'1'\s*=\s*'1'",
     "xss": r"(?iu)<script|javascript:|onerror\s*=|onload\s*=",
     "traversal": r"(?iu)\.\./|\.\.\\|%2e%2e",
     "rce": r"(?iu)\$\{jndi:|cmd\s*=|powershell|base64",
 }
+SIGNATURES = {name: pattern.replace(r"\s", _BLANK) for name, pattern in _PATTERNS.items()}
 PROBE_PATHS = (
     r"(?iu)\.env|\.git|wp-admin|wp-login\.php|config\.php|backup\.zip|phpinfo|cgi-bin|setup\.php|admin/config"
 )

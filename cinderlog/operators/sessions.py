@@ -15,7 +15,7 @@ from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, journey_stage
 from ..functions.text import contains_any
 from ..session import through_table
 from .context import AnalysisContext
-from .grouping import Keys, ratio, with_totals
+from .grouping import Keys, join_on, ratio, with_totals
 
 # Words that mark a login path, and statuses that mark a refused request.
 LOGIN_WORDS = ("login", "auth", "signin")
@@ -158,7 +158,7 @@ def session_paths(
     slots = session_slots(records, keys, gap) if slots is None else slots
     numbered = slots.select(*keys, "client_ip", "slot", "session_index")
     return (
-        seen.join(numbered, [*keys, "client_ip", "slot"])
+        join_on(seen, numbered, [*keys, "client_ip", "slot"])
         .groupBy(*keys, "client_ip", "session_index")
         .agg(F.count_distinct("path").alias("distinct_paths"))
     )
@@ -169,9 +169,11 @@ def sessions_with_paths(records: DataFrame, keys: Keys = [], ctx: AnalysisContex
     # Written: two jobs read the numbered slots, which are few and costly to number.
     slots = through_table(session_slots(records, keys, ctx.session_gap_seconds), "slots")
     table = session_table(records, keys, ctx, slots)
-    return table.join(
-        session_paths(records, keys, ctx, slots), [*keys, "client_ip", "session_index"], "left"
-    ).withColumn("distinct_paths", F.coalesce("distinct_paths", F.lit(1)))
+    # Unnamed requests stay out of the join: all of them share one address.
+    named = join_on(
+        table.where(F.col("client_ip") != "-"), session_paths(records, keys, ctx, slots), [*keys, "client_ip", "session_index"]
+    )
+    return named.unionByName(table.where(F.col("client_ip") == "-").withColumn("distinct_paths", F.lit(1).cast("bigint")))
 
 
 def session_requests(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()) -> DataFrame:
@@ -181,9 +183,10 @@ def session_requests(records: DataFrame, keys: Keys = [], ctx: AnalysisContext =
     numbered = session_slots(records, keys, gap).select(*keys, "client_ip", "slot", "session_index")
     columns = [*keys, "line_id", "client_ip", "time", "method", "path", "status_code", "size", "journey_stage"]
     named = (
-        rows.where(F.col("client_ip") != "-")
-        .withColumn("slot", _slot(F.col("time"), gap))
-        .join(numbered, [*keys, "client_ip", "slot"])
+        join_on(
+            rows.where(F.col("client_ip") != "-").withColumn("slot", _slot(F.col("time"), gap)),
+            numbered, [*keys, "client_ip", "slot"],
+        )
         .select(*columns, _session_id(F.col("client_ip"), F.col("session_index")).alias("session_id"))
     )
     unnamed = rows.where(F.col("client_ip") == "-").select(
@@ -363,7 +366,7 @@ def journey_steps(
     own = F.col("_steps") - F.col("_continues")
     edges = edges.withColumn("_offset", F.sum(own).over(session) - own)
     steps = (
-        starts.join(edges.select(*part, "session_index", "_continues", "_offset"), part)
+        join_on(starts, edges.select(*part, "session_index", "_continues", "_offset"), part)
         .where(F.col("_nth") > F.col("_continues"))
         .select(
             *keys, "client_ip",

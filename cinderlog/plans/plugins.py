@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions.fields import Fields
 from ..operators.context import AnalysisContext
-from ..operators.grouping import Keys
+from ..operators.grouping import Keys, join_on
 from ..operators.metrics import SELECTORS, to_long
 from ..operators.statistics import stats_summary
 
@@ -62,7 +62,7 @@ def stats(records: DataFrame, keys: Keys = []) -> DataFrame:
         return summary
     added = records.groupBy(*keys).agg(*extra)
     if keys:
-        return summary.join(added, keys)
+        return join_on(summary, added, keys)
     names = added.columns
     return summary.select("*", *[added.select(n).scalar().alias(n) for n in names])
 

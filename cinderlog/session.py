@@ -26,10 +26,6 @@ LAUNCH_SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-#: Largest side that may carry a broadcast hint (rows are narrow: a path and a few scalars).
-BROADCAST_ROW_LIMIT = 200_000
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; on a cluster use the session you are given."""
     builder = (
@@ -52,10 +48,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``. Only a session in one machine (tests) may do without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix=f"cinderlog-{label}-") + "/data"
 
 
@@ -88,11 +87,3 @@ def through_tables(spark: SparkSession, jobs: list[Callable[[], DataFrame]], lab
     schema = done[0][1]
     return spark.read.schema(schema).parquet(*[path for path, _ in done])
 
-
-def broadcast_when_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting that the side is bounded; otherwise leave a shuffle join.
-
-    ``df`` should be cheap to count or already written.
-    """
-    small = df.limit(limit + 1).count() <= limit
-    return df.hint("broadcast") if small else df

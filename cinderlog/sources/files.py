@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.text import strip
 from ..operators.formats import windows_row_fields, windows_row_raw
 from ..schema import RECORD_FIELDS, null_of
-from ..session import broadcast_when_small, through_table
+from ..session import through_table
 
 # Accepted suffixes and byte limits.
 LOG_SUFFIXES = (".log", ".txt", ".json", ".csv", ".gz")
@@ -56,7 +56,7 @@ def latin1_fallback(lines: DataFrame) -> DataFrame:
     odd = lines.where(~F.is_valid_utf8("value")).select("source_file").distinct().withColumn("_latin1", F.lit(True))
     # Written: it is both counted and joined, and finding it takes a scan.
     odd = through_table(odd, "latin1-files")
-    joined = lines.join(broadcast_when_small(odd), "source_file", "left")
+    joined = lines.join(odd, "source_file", "left")
     value = F.when(F.col("_latin1"), _as_latin1(F.col("value"))).otherwise(F.col("value"))
     return joined.withColumn("value", value).select(*lines.columns)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, tokens, vector_join
+from . import language, line_dedup, mixing, neighbours, ngram_join, packing, preference, quality, tokens, vector_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation preferred to one with the lines of its answers in reverse order: prompt once, two masked completions."""
+    chosen = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    pairs = preference.format_pairs(chosen, preference.lines_reversed(chosen))
+    return pairs.withColumnRenamed("pair_id", "conv_id")
+
+
+ORACLES["op7_chat_formatting"] = preference.SQL
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; documents of the held-out part teach nothing."""

@@ -12,6 +12,7 @@ from cinderlog.functions.times import normalize_timestamp
 from cinderlog.operators import explore, statistics as st
 from cinderlog.operators.context import AnalysisContext
 from cinderlog.operators.quantiles import exact_percentiles
+from cinderlog.session import through_table
 
 from .catalog import duck_stamp, flag, log_sql, query, r6, stamp, stored_access, stored_json, table
 from .demo_log import demo_events
@@ -179,11 +180,13 @@ def _(spark, sf):
 @query("sort_records", log_sql("""
 SELECT line_id, size, CAST(row_number() OVER (ORDER BY size DESC NULLS LAST, line_id) AS BIGINT) AS place FROM access"""))
 def _(spark, sf):
-    # The place of every row in the sorted table, numbered across its partitions.
-    ordered = explore.sort_records(stored_access(spark, sf), "size", "desc").select("line_id", "size")
-    return spark.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1)), ordered.schema.add("place", "bigint")
-    )
+    # The place of every row in the sorted table: its place in its partition, after all rows of the partitions before.
+    ordered = explore.sort_records(stored_access(spark, sf), "size", "desc")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = through_table(ordered.select("line_id", "size", F.spark_partition_id().alias("part"), place.alias("inside")), "sorted")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    parts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(parts, "part").select("line_id", "size", (F.col("before") + F.col("inside") + 1).alias("place"))
 
 
 @query("paginate", "SELECT o_orderkey FROM orders ORDER BY o_totalprice ASC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100")

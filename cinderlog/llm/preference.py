@@ -6,6 +6,7 @@ from: the text and end mark of an assistant's turn. All else in a completion, an
 
 Results are rows of turns, not one text for each pair: a conversation may be a large part of the table. Turns are put in blocks of
 turn numbers, so that places and offsets come from sums over blocks and then within a block, and no task sees a whole conversation.
+What is read more than once is written to the shared folder first.
 
 Defined cases: a null role or text is an empty one. Turns are ordered by number (null first), then role, then text; a repeated row
 counts once. A null ``pair_id`` is a pair like any other. A pair with one side only has an empty prompt; equal sides have a prompt
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import written
+
 #: Turn layout: before the role, between role and text, after the text.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Turn numbers of a block: 2 to this power.
@@ -60,9 +63,9 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, learned: str = "assista
     characters of the part that are learned; a length of 0 means that the whole turn is masked. Rendered turns of a part put one
     after another by ``position`` are its text, and prompt and completion together are the conversation.
     """
-    turns = _turns(chosen, "chosen").unionByName(_turns(rejected, "rejected")).distinct()
+    turns = written(_turns(chosen, "chosen").unionByName(_turns(rejected, "rejected")).distinct(), "turns")
     by_turn = F.coalesce(F.shiftright("turn", _BLOCK), F.lit(_FIRST))
-    placed = _offset(turns, ["pair_id", "side"], by_turn, ["turn", "role", "text"], F.lit(1), "position")
+    placed = written(_offset(turns, ["pair_id", "side"], by_turn, ["turn", "role", "text"], F.lit(1), "position"), "placed-turns")
 
     # a position where both sides say the same keeps one of its two rows, at once with the place where the pair first differs
     both = placed.groupBy("pair_id", "position").agg(
@@ -95,7 +98,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, learned: str = "assista
         F.char_length(head).cast("long").alias("head"),
     ).withColumn("length", F.char_length("rendered").cast("long"))
     by_place = F.shiftright("position", _BLOCK)
-    spans = _offset(rendered, ["pair_id", "part"], by_place, ["position"], F.col("length"), "start")
+    spans = _offset(written(rendered, "rendered-turns"), ["pair_id", "part"], by_place, ["position"], F.col("length"), "start")
     taught = (F.col("part") != "prompt") & (F.col("role") == learned)
     return spans.select(
         "pair_id",

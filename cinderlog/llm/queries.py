@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, line_dedup, mixing, neighbours, ngram_join, packing, preference, quality, tokens, vector_join
+from . import (
+    language, line_dedup, mixing, neighbours, ngram_join, packing, piece_bpe, preference, quality, tokens, vector_join,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,14 +21,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def vocabulary(name: str) -> str:
+def model_file(name: str) -> bytes:
     """A public tokenizer's file, read by the driver."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+    with open(public_tokenizers.path(name), "rb") as file:
         return file.read()
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file of text."""
+    return model_file(name).decode()
+
+
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of four-word shingles that link at a Jaccard similarity of 0.85, over all documents."""
@@ -103,3 +110,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at a cosine of 0.9, over the whole table."""
     return vector_join.links(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded again."""
+    model = model_file("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_bpe.encode_texts(docs, model).select("doc_id", "ids")
+    return piece_bpe.decode_ids(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

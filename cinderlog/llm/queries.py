@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    language, line_dedup, mixing, neighbours, ngram_join, packing, piece_bpe, preference, quality, tokens, vector_join,
+    language, line_dedup, mixing, neighbours, ngram_join, packing, periodic, piece_bpe, preference, quality, spelling, tokens,
+    vector_join,
 )
 from .common import table
 
@@ -124,3 +125,29 @@ def op12_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that occur twice at least, and the common form each is a spelling of."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least=7, every=31)
+    return spelling.variants(words.where("n >= 2"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, of which one in ten repeats its end, and the text without the repetitions."""
+    docs = table(spark, sf_dir, "documents")
+    whole = docs.select("doc_id", periodic.tail_repeated(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.collapse_runs(whole).select("doc_id", "runs", "collapsed", periodic.most_repeated(F.col("runs")).alias("most"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("most.start").alias("start"),
+        F.col("most.length").alias("length"),
+        F.col("most.period").alias("period"),
+        F.expr("(1000 * most.length) div most.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -4,7 +4,7 @@ The encoding of a text is the only sequence of reachable pieces whose neighbours
 when merging the text of both gives back these two. (The first merge that crossed a border between pieces would cross it as well
 if only the two pieces beside it were there.) So the longest piece at a place is tried first, then the shorter ones that start it,
 each checked against the piece before it only; a place from which nothing leads on is marked in a bitfield and never tried again,
-since no other way leads to a place that the encoding passes. An Aho-Corasick automaton gives the longest pieces of a window.
+since no other way leads to a place that the encoding passes. An Aho-Corasick automaton gives the longest piece at a place.
 
 A text falls into stretches at characters that stand beside each other in no piece. Merges never cross such a place, so stretches
 are encoded by themselves and common ones are remembered.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,18 +28,17 @@ from .common import SLICE, slices, texts_of
 
 #: The mark that stands for a blank inside pieces (a fixed value of the model format).
 BLANK = "▁"
-#: Stretches remembered in each of two generations, and the longest remembered one.
-REMEMBERED = 1 << 17
+#: Stretches remembered in each of two generations, bytes of the longest remembered one, and pairs of pieces remembered.
+REMEMBERED = 1 << 18
 LONGEST = 64
-#: Characters of a window of the automaton.
-WINDOW = 1 << 16
+PAIRS = 1 << 18
 NEVER = math.inf
 
 
 class PieceBpe:
     """A merge-type model with byte fallback: ``encode`` and ``decode`` give what the library gives without begin and end ids."""
 
-    def __init__(self, model: bytes, window: int = WINDOW):
+    def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
         spec = sentencepiece_model_pb2.ModelProto()
@@ -53,7 +53,7 @@ class PieceBpe:
         size = library.get_piece_size()
         if any(library.is_unused(i) for i in range(size)) or any(p.type == 4 for p in spec.pieces):
             raise ValueError("models with unused or user-defined pieces are not read")
-        self.size, self.window = size, window
+        self.size = size
         self.pieces = [library.id_to_piece(i) for i in range(size)]
         hidden = {i for i in range(size) if library.is_control(i) or library.is_unknown(i)}
         self.byte_of = {i: int(self.pieces[i][1:-1], 16) for i in range(size) if library.is_byte(i)}
@@ -78,12 +78,19 @@ class PieceBpe:
         self.shorter = [self._shorter(i) for i in range(size)]
         self.edges: dict[int, tuple | None] = {}
         self.known: dict[int, bool] = {}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         shown = [p.replace(BLANK, " ") for p in self.pieces]
         unknown = trainer.unk_surface
         self.shown = [unknown if library.is_unknown(i) else "" if i in hidden else shown[i] for i in range(size)]
         self.hidden = frozenset(i for i in hidden if not library.is_unknown(i))
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.shown)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, raw), np.int64, size)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        #: Ids that are more than a text of their own, wherever they stand: parts of characters, and control ids.
+        self.odd = np.array([i in self.hidden or self.byte_of.get(i, 0) >= 0x80 for i in range(size)])
+        self.blank_first = np.array([bool(self.prefix) and i not in self.byte_of and p.startswith(BLANK) for i, p in enumerate(self.pieces)])
 
     # -- tables of the model ---------------------------------------------------------------------
 
@@ -95,6 +102,7 @@ class PieceBpe:
         for c, n in names.items():
             self.kind[ord(c)] = n
         self.kinds = len(names) + 1
+        self.kind[32] = names.get(BLANK, 0)
         self.beside = np.zeros(self.kinds * self.kinds, bool)
         for p in many:
             for a, b in zip(p, p[1:]):
@@ -172,27 +180,16 @@ class PieceBpe:
 
     # -- encoding --------------------------------------------------------------------------------
 
-    def _longest(self, text: str, number: int) -> list[int]:
-        """The longest piece at every place of a window."""
-        a = number * self.window
-        out = [-1] * min(self.window, len(text) - a)
-        n, length = len(out), self.length
-        for end, i in self.matches.iter(text[a : a + self.window + self.reach]):
-            start = end + 1 - length[i]
-            if start < n:
-                out[start] = i
-        return out
-
     def stretch(self, text: str) -> list[int]:
         """Pieces of a stretch (blanks as marks), all of whose characters are pieces."""
         whole = self.ids.get(text)
         if whole is not None and self._edges(whole) is not None:
             return [whole]
-        n, window, size = len(text), self.window, self.size
-        length, shorter, known = self.length, self.shorter, self.known
+        n, size, reach = len(text), self.size, self.reach
+        length, shorter, known, longest = self.length, self.shorter, self.known, self.matches.iter_long
         failed, out = bytearray((n >> 3) + 1), []
-        number, table = 0, self._longest(text, 0)
-        at, last, piece = 0, -1, table[0]
+        at, last = 0, -1
+        piece = next(longest(text[:reach]))[1]
         while True:
             while piece >= 0:
                 end = at + length[piece]
@@ -200,7 +197,7 @@ class PieceBpe:
                     key = last * size + piece
                     fits = known.get(key)
                     if fits is None:
-                        if len(known) >= 8 * REMEMBERED:
+                        if len(known) >= PAIRS:
                             known.clear()
                         fits = known[key] = self.fits(last, piece)
                     if fits:
@@ -211,78 +208,85 @@ class PieceBpe:
                 at, last = end, piece
                 if at == n:
                     return out
-                if at // window != number:
-                    number = at // window
-                    table = self._longest(text, number)
-                piece = table[at - number * window]
+                # The longest piece here: every character is a piece, so the leftmost match is here.
+                piece = next(longest(text[at : at + reach]))[1]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 taken = out.pop()
                 at -= length[taken]
                 last, piece = out[-1] if out else -1, shorter[taken]
-                if at // window != number:
-                    number = at // window
-                    table = self._longest(text, number)
 
-    def _stretch_bytes(self, text: str) -> bytes:
-        found = self.old.get(text)
+    def _stretch_bytes(self, raw: bytes) -> bytes:
+        """Ids of a stretch, as bytes. ``raw`` is its text in UTF-8, with blanks as they are."""
+        found = self.old.get(raw)
         if found is None:
+            text = raw.decode().replace(" ", BLANK)
             if len(text) == 1 and text not in self.ids:
-                out = [self.byte_id[b] for b in text.encode()]
+                out = [self.byte_id[b] for b in raw]
             else:
                 out = self.stretch(text)
-            found = np.array(out, "<i4").tobytes()
-        if len(text) <= LONGEST:
+            found = struct.pack(f"<{len(out)}i", *out)
+        if len(raw) <= LONGEST:
             if len(self.new) >= REMEMBERED:
                 self.old, self.new = self.new, {}
-            self.new[text] = found
+            self.new[raw] = found
         return found
 
-    def _borders(self, text: str) -> np.ndarray:
-        """For every place of ``text`` but the first, whether no merge crosses it."""
-        kind = self.kind[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    def _borders(self, points: np.ndarray) -> np.ndarray:
+        """For every code point but the first, whether no merge crosses the place before it."""
+        kind = self.kind[points]
         return ~self.beside[kind[:-1] * self.kinds + kind[1:]]
 
+    def _part(self, part: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that follow each other and end at ``ends``, and how many each has. Each different stretch is looked up once."""
+        points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+        mark = np.concatenate([[True], self._borders(points), [True]])
+        mark[ends] = True
+        place = np.flatnonzero(mark)
+        data, at = part.encode(), place
+        if len(data) > len(points):
+            width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+            at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[place]
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        number, get = coded.indices.to_numpy(), self.new.get
+        found = [get(t) or self._stretch_bytes(t) for t in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        values = _gather(np.frombuffer(b"".join(found), "<i4"), (np.cumsum(size) - size)[number], size[number])
+        held = np.concatenate([[0], np.cumsum(size[number])])
+        return values, np.diff(held[np.searchsorted(place, ends)], prepend=0)
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after each other, and how many each has."""
-        marked = [self.prefix + t.replace(" ", BLANK) if t else "" for t in texts]
+        marked = [self.prefix + t if t else "" for t in texts]
         ids, counts = [], np.zeros(len(texts), np.int64)
-        for a, b in slices(marked):
-            for rows, part in self._parts(marked[a:b]):
-                ends = np.cumsum(np.fromiter((len(t) for t in rows), np.int64, len(rows))) if rows else np.array([len(part)])
-                mark = np.concatenate([[True], self._borders(part), [True]])
-                mark[ends] = True
-                place = np.flatnonzero(mark)
-                cuts = place.tolist()
-                get = self.new.get
-                found = [get(t) or self._stretch_bytes(t) for t in [part[i:j] for i, j in zip(cuts, cuts[1:])]]
-                ids.append(np.frombuffer(b"".join(found), "<i4"))
-                if rows:
-                    held = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-                    counts[a:b] = np.diff(held[np.searchsorted(place, ends)], prepend=0)
-                else:
-                    counts[a:b] += len(ids[-1]) * (np.fromiter(map(len, marked[a:b]), np.int64, b - a) > 0)
+        for a, b in slices(marked, 2 * SLICE):
+            sizes = np.fromiter(map(len, marked[a:b]), np.int64, b - a)
+            for part in self._parts(marked[a:b]):
+                whole = len(part) == sizes.sum()
+                values, held = self._part(part, np.cumsum(sizes) if whole else np.array([len(part)]))
+                ids.append(values)
+                counts[a:b] += held if whole else held * (sizes > 0)
         return (np.concatenate(ids) if ids else np.zeros(0, "<i4")), counts
 
-    def _parts(self, texts: list[str]) -> Iterator[tuple[list[str], str]]:
-        """The texts and all of them joined; a text longer than a slice instead in parts that end where no merge crosses."""
+    def _parts(self, texts: list[str]) -> Iterator[str]:
+        """All texts joined; a text longer than a slice instead in parts that end where no merge crosses."""
         full = [t for t in texts if t]
-        if not full:
-            return
-        if len(full) > 1 or len(full[0]) <= 2 * SLICE:
-            yield texts, "".join(texts)
+        if len(full) != 1 or len(full[0]) <= 4 * SLICE:
+            if full:
+                yield "".join(full)
             return
         text, at = full[0], 0
         while at < len(text):
-            to = min(at + SLICE, len(text))
+            to = min(at + 2 * SLICE, len(text))
             while to < len(text):
                 since = max(at, to - SLICE)
-                cuts = np.flatnonzero(self._borders(text[since : to + 1]))
+                cuts = np.flatnonzero(self._borders(np.frombuffer(text[since : to + 1].encode("utf-32-le"), np.uint32)))
                 if len(cuts):
                     to = since + int(cuts[-1]) + 1
                     break
                 to = min(to + SLICE, len(text))
-            yield [], text[at:to]
+            yield text[at:to]
             at = to
 
     def encode(self, text: str) -> list[int]:
@@ -334,6 +338,43 @@ class PieceBpe:
             out.append(self.shown[i])
         return "".join(out) + self._bytes(run)
 
+    def decode_many(self, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of sequences of ids that follow each other."""
+        out, ends = [], np.cumsum(counts)
+        if len(values) and (values.min() < 0 or values.max() >= self.size):
+            raise IndexError("an id outside the model")
+        a = 0
+        while a < len(counts):
+            since = int(ends[a] - counts[a])
+            b = max(a + 1, int(np.searchsorted(ends, since + SLICE, side="right")))
+            ids, held = values[since : ends[b - 1]], counts[a:b]
+            size, at = self.raw_size[ids], self.raw_at[ids]
+            first = (np.cumsum(held) - held)[held > 0]
+            lead = first[self.blank_first[ids[first]]]
+            size[lead] -= 1
+            at[lead] += 1
+            length = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(held)])]
+            texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(length), pa.py_buffer(_gather(self.raw, at, size)))
+            odd = np.flatnonzero(np.bincount(np.repeat(np.arange(b - a), held)[self.odd[ids]], minlength=b - a))
+            if len(odd):
+                mask = np.zeros(b - a, bool)
+                mask[odd] = True
+                begin = np.cumsum(held) - held
+                by_hand = [self.decode(ids[begin[k] : begin[k] + held[k]].tolist()) for k in odd]
+                # Their bytes may be no text as they are, so only the others are taken from the buffer.
+                plain = texts.filter(pa.array(~mask)).to_pylist()
+                rest, hand = iter(plain), iter(by_hand)
+                texts = pa.array([next(hand) if m else next(rest) for m in mask.tolist()], pa.large_string())
+            out.append(texts.cast(pa.string()))
+            a = b
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` that start at ``at`` and have ``size`` values, after each other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
 
 @functools.lru_cache(maxsize=2)
 def coder(model: bytes) -> PieceBpe:
@@ -341,18 +382,24 @@ def coder(model: bytes) -> PieceBpe:
     return PieceBpe(model)
 
 
-def _mapped(df: DataFrame, model: bytes, source: str, target: T.StructField, work) -> DataFrame:
-    """``df`` with the column ``target``, worked out from ``source`` by ``work(coder, column)``; rows stay in their partition."""
-    df = df.drop(target.name)
+def _mapped(df: DataFrame, model: bytes, source: str, new: dict[str, T.DataType], work) -> DataFrame:
+    """``df`` with the columns ``new``, worked out from ``source`` by ``work(coder, column)``; rows stay in their partition."""
+    df = df.drop(*new)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = coder(shared.value)
         for part in parts:
             made = work(machine, part.column(part.schema.get_field_index(source)))
-            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, target.name])
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in new.items())]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, target]))
+def _encoded(machine: PieceBpe, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    values, counts = machine.encode_many(texts_of(column))
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return values, counts, pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
 def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
@@ -362,13 +409,7 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
     as empty and has no ids. Every row is worked out by itself, so repeated rows give repeated results, and an empty table an empty
     one. Other columns stay; one named ``ids`` is replaced. A very long text is read in parts, at no loss.
     """
-
-    def work(machine: PieceBpe, column: pa.Array) -> pa.Array:
-        values, counts = machine.encode_many(texts_of(column))
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
-
-    return _mapped(docs, model, text, T.StructField("ids", T.ArrayType(T.IntegerType())), work)
+    return _mapped(docs, model, text, {"ids": T.ArrayType(T.IntegerType())}, lambda m, c: [_encoded(m, c)[2]])
 
 
 def decode_ids(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -378,12 +419,21 @@ def decode_ids(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     a null among the ids, is an error. Other columns stay; one named ``decoded`` is replaced.
     """
 
-    def work(machine: PieceBpe, column: pa.Array) -> pa.Array:
-        values = column.flatten().to_numpy(zero_copy_only=False)
-        if values.dtype == object or values.dtype.kind == "f":
+    def work(machine: PieceBpe, column: pa.Array) -> list[pa.Array]:
+        flat = column.flatten()
+        if flat.null_count:
             raise ValueError("null among the ids")
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes).tolist()
-        return pa.array([machine.decode(values[i:j].tolist()) for i, j in zip([0, *ends], ends)], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return [machine.decode_many(flat.to_numpy().astype(np.int64), sizes)]
+
+    return _mapped(df, model, ids, {"decoded": T.StringType()}, work)
+
+
+def encode_and_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """Add ``ids`` as :func:`encode_texts` does and ``decoded``, what :func:`decode_ids` makes of them, in one pass over the rows."""
+
+    def work(machine: PieceBpe, column: pa.Array) -> list[pa.Array]:
+        values, counts, lists = _encoded(machine, column)
+        return [lists, machine.decode_many(values, counts)]
 
-    return _mapped(df, model, ids, T.StructField("decoded", T.StringType()), work)
+    return _mapped(docs, model, text, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, work)

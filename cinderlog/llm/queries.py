@@ -118,8 +118,7 @@ def op12_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to pieces and decoded again."""
     model = model_file("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_bpe.encode_texts(docs, model).select("doc_id", "ids")
-    return piece_bpe.decode_ids(coded, model).select(
+    return piece_bpe.encode_and_decode(docs, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

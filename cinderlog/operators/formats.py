@@ -444,6 +444,11 @@ def _windows_raw(value: Column) -> Column:
 NUMERIC_FIELDS = ("status_code", "status", "size", "bytes_sent", "body_bytes_sent", "event_id")
 
 
+def _column_of(prefix: str, name: str) -> str:
+    """A column of a user format; any name can be registered, so what is not a word character is spelled out."""
+    return prefix + re.sub(r"[^A-Za-z0-9]", lambda m: f"_{ord(m.group()):x}_", name)
+
+
 def regex_format(
     name: str,
     pattern: str,
@@ -467,7 +472,7 @@ def regex_format(
     plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{names[m.group(1)]}", plain)
     # The pattern may sit anywhere in the line; the wrapper spans the line and keeps the leftmost match.
     spanning = rf"(?Ud)^(?s:.*?)(?:{plain})(?s:.*)$"
-    column = f"_re_{name}"
+    column = _column_of("_re_", name)
 
     timed = timestamp_field if timestamp_field in names else ("timestamp" if "timestamp" in names else None)
 
@@ -515,7 +520,7 @@ def python_format(
 
     The slow path, for layouts that no expression can read.
     """
-    column = f"_py_{name}"
+    column = _column_of("_py_", name)
 
     @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
     def read(lines: pd.Series) -> pd.Series:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip
+from ..functions.text import csv_cells, strip
 from ..schema import LINE_COLUMNS, RECORD_FIELDS, null_of, require_columns
+from .exports import assemble_records, export_records
 from .formats import DEFAULT_YEAR, Format, known_formats
 
 # Fixed value: the line boundaries Python's str.splitlines() knows.
@@ -34,14 +35,25 @@ def parse_with_formats(lines: DataFrame, year: int = DEFAULT_YEAR) -> DataFrame:
     return _project(lines, known_formats(year))
 
 
-def parse_auto(lines: DataFrame, winners: DataFrame, year: int = DEFAULT_YEAR) -> DataFrame:
+def parse_auto(
+    lines: DataFrame, winners: DataFrame, year: int = DEFAULT_YEAR, exports: DataFrame | None = None
+) -> DataFrame:
     """Parse each file with its detected format.
 
     ``winners`` has one row per file (``source_file``, ``format``). Spark broadcasts it as long as its size
     in bytes allows, so the lines are not shuffled; past that it is a plain join.
+
+    ``exports`` names the files (``source_file``) that are Event Viewer exports, see ``export_files``: their records may span lines.
+    Only their lines are shuffled. The lines then need ``block_start`` and have to include blank ones.
     """
     side = winners.select("source_file", "format")
-    return parse_with_formats(lines.drop("format").join(side, "source_file", "left"), year)
+    if exports is None:
+        return parse_with_formats(lines.drop("format").join(side, "source_file", "left"), year)
+    plain = lines.join(exports, "source_file", "left_anti").where(strip(F.col("value")) != "")
+    records = parse_auto(plain, winners, year)
+    whole = assemble_records(lines.drop("format").join(exports, "source_file", "left_semi"))
+    cells = worked_out(whole.withColumn("_cells", csv_cells(strip(F.col("value")))), ["_cells"])
+    return records.unionByName(export_records(cells.drop("value")).select(*records.columns))
 
 
 def split_errors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +88,17 @@ def with_stages(lines: DataFrame, formats: list[Format], guard) -> DataFrame:
     return out
 
 
+def worked_out(df: DataFrame, names: list[str]) -> DataFrame:
+    """Keep what is in the columns ``names`` from being worked out again by what is built on them.
+
+    Filters on parsed fields are pushed below plain projections, and repeat there what the fields are made from. They do not pass a
+    generator whose output they read, so the columns go through one that gives one row for each.
+    """
+    quoted = lambda c: F.col(f"`{c}`")
+    kept = [quoted(c) for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*[quoted(c) for c in names]))))
+
+
 def _project(lines: DataFrame, formats: dict[str | None, Format]) -> DataFrame:
     require_columns(lines, LINE_COLUMNS, "parsing")
     single = None in formats
@@ -86,6 +109,7 @@ def _project(lines: DataFrame, formats: dict[str | None, Format]) -> DataFrame:
         return column if single else F.when(F.col("format").isin(*[u.name for u in users]), column)
 
     staged = with_stages(lines, chosen, guard)
+    staged = worked_out(staged, [c for c in staged.columns if c not in lines.columns])
     fields = {fmt.name: fmt.fields() for fmt in chosen}
 
     def cases(pick, default: Column) -> Column:

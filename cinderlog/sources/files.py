@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
-from ..operators.formats import windows_row_fields, windows_row_raw
-from ..schema import RECORD_FIELDS, null_of
+from ..operators.exports import export_records
+from ..schema import RECORD_FIELDS
 from ..session import through_table
 
 # Accepted suffixes and byte limits.
@@ -20,10 +20,11 @@ MAX_UNPACKED_BYTES = 200 * 1024 * 1024
 SAMPLE_LINES = 50
 
 
-def read_log_lines(spark: SparkSession, paths: str | list[str], latin1: str = "file") -> DataFrame:
+def read_log_lines(spark: SparkSession, paths: str | list[str], latin1: str = "file", blanks: bool = False) -> DataFrame:
     """Non-blank lines of text files, gzip by suffix: ``line_id``, ``source_file``, ``block_start``, ``value``.
 
-    ``line_id`` is unique and rises within a block; (``block_start``, ``line_id``) is file order.
+    ``line_id`` is unique and rises within a block; (``block_start``, ``line_id``) is file order. With ``blanks``, blank lines are kept:
+    records that span lines may hold some.
     ``latin1`` says how text that is not UTF-8 is read: ``file`` reads the whole file as Latin-1 (one more
     scan, which only lists the files concerned), ``line`` just the line, ``off`` leaves it.
     """
@@ -39,7 +40,7 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], latin1: str = "f
         lines = lines.withColumn("value", as_text(F.col("value")))
     elif latin1 != "off":
         raise ValueError(f"latin1 must be 'file', 'line' or 'off', not {latin1!r}")
-    return lines.where(strip(F.col("value")) != "")
+    return lines if blanks else lines.where(strip(F.col("value")) != "")
 
 
 def as_text(value: Column) -> Column:
@@ -155,19 +156,6 @@ def read_windows_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source_file"),
         F.monotonically_increasing_id().alias("line_id"),
     )
-    rows = rows.where(F.exists("_cells", lambda c: strip(c) != ""))
-    fields = windows_row_fields(F.col("_cells"))
-    bad = fields["timestamp"].isNull() & fields["source"].isNull() & fields["event_id"].isNull()
-    flagged = rows.withColumn("parse_error", bad)
-    out = []
-    for name, kind in RECORD_FIELDS.items():
-        if name == "format":
-            column = F.lit("windows")
-        elif name == "parse_error":
-            column = F.col(name)
-        elif name == "raw":
-            column = windows_row_raw(F.col("_cells"))
-        else:
-            column = F.when(~F.col("parse_error"), fields.get(name, null_of(name)))
-        out.append(column.cast(kind).alias(name))
-    return flagged.select("line_id", "source_file", *out)
+    return export_records(rows.where(F.exists("_cells", lambda c: strip(c) != ""))).select(
+        "line_id", "source_file", *RECORD_FIELDS
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinderlog.operators.detection import (
     detect, detect_formats, format_match_rates, format_quality, format_scores, list_formats, rank_formats, sample_head,
 )
+from cinderlog.operators.exports import export_files
 from cinderlog.operators.formats import python_format, regex_format
 from cinderlog.operators.parsing import explode_log_text, parse_auto, parse_lines, split_errors
 from cinderlog.session import scratch_dir, through_table
@@ -536,6 +537,44 @@ def _(spark, sf):
         "status_code", "hostname")
 
 
+# A folder of access logs and of exports whose messages run over lines; the messages hold blank lines, quotes and lines that look
+# like records of their own.
+_EXPORT_MESSAGE = """CASE line_id % 4 WHEN 0 THEN msg WHEN 1 THEN 'Said "' || msg || '",' || {nl} || {nl} || 'twice.'
+  WHEN 2 THEN 'Copy:' || {nl} || 'Error,2024-01-01 00:00:00,' || host || ',7,none,"' || msg ELSE '"' || msg || '"' || {nl} || '"' END"""
+
+
+@query("parse_auto_exports", log_sql(f"""
+SELECT 'windows' AS format, {duck_stamp('seen')} AS seen, {_WIN_LEVEL} AS level, host AS source, line_id AS event_id, etype AS category,
+  {_EXPORT_MESSAGE.format(nl='chr(10)')} AS message, NULL AS path, 0 AS parse_error
+FROM demo WHERE uid % 3 = 0
+UNION ALL
+SELECT 'nginx', {duck_stamp('seen')}, NULL, NULL, NULL, NULL, NULL, path, CAST(parse_error AS BIGINT) FROM access
+WHERE line_id IN (SELECT line_id FROM demo WHERE uid % 3 <> 0)"""))
+def _(spark, sf):
+    e = demo_events(spark, sf)
+    path = scratch_dir(spark, "exports")
+    word = "CASE etype WHEN 'error' THEN 'Error' WHEN 'view' THEN 'Warning' WHEN 'click' THEN 'Audit Failure' ELSE 'Information' END"
+    e.where("uid % 3 = 0").selectExpr(
+        f"{word} AS `Level`", "date_format(seen, 'yyyy-MM-dd HH:mm:ss') AS `Date and Time`", "host AS `Source`",
+        "line_id AS `Event ID`", "etype AS `Task Category`", f"{_EXPORT_MESSAGE.format(nl='char(10)')} AS `Description`",
+    ).repartition(3, "Event ID").write.csv(f"{path}/windows", header=True, quoteAll=True, escape='"')
+    e.where("uid % 3 <> 0").select("raw_access").write.text(f"{path}/web")
+    folders = [f"{path}/windows", f"{path}/web"]
+    heads = read_heads(list_files(spark, folders))
+    winners = through_table(detect(heads, year=2024), "winners")
+    # Small blocks, so that a file is read by several tasks and records cross their borders.
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = through_table(read_log_lines(spark, folders, blanks=True), "lines")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    records = parse_auto(lines, winners, 2024, exports=export_files(heads, winners))
+    return records.select(
+        "format", stamp("timestamp").alias("seen"), "level", "source", "event_id", "category", "message", "path",
+        flag("parse_error").alias("parse_error"))
+
+
 @query("parsed_by_format", log_sql("""
 SELECT kind AS format, COUNT(*) AS records, COUNT(*) FILTER (WHERE bad OR kind = 'unknown') AS parse_errors
 FROM mixed GROUP BY 1""", _MIXED_CTE))
@@ -564,10 +603,10 @@ def _(spark, sf):
     # A registered format takes part in detection and wins its file.
     from cinderlog.operators.formats import register_format, unregister_format
 
-    register_format("statuslog", r"^(?P<time>\S+) (?P<level>\w+) status=(?P<status>\d+) (?P<message>.+)$", "time", "%Y-%m-%dT%H:%M:%S")
+    register_format("my.status-log", r"^(?P<time>\S+) (?P<level>\w+) status=(?P<status>\d+) (?P<message>.+)$", "time", "%Y-%m-%dT%H:%M:%S")
     try:
         lines = demo_lines(spark, sf, "raw_custom")
         winners = through_table(detect(sample_head(lines)), "winners")
         return _custom_columns(parse_auto(lines, winners))
     finally:
-        unregister_format("statuslog")
+        unregister_format("my.status-log")

@@ -59,7 +59,7 @@ SELECTORS = (
 )
 
 
-def _signals(records: DataFrame, keys: Keys) -> DataFrame:
+def record_signals(records: DataFrame, keys: Keys) -> DataFrame:
     """Per record, the inputs of every single-record measure, each computed once."""
     f = Fields(records)
     code = f.status()
@@ -113,7 +113,7 @@ def flat_metrics(records: DataFrame, keys: Keys, ctx: AnalysisContext) -> DataFr
         *[F.count_if(f"tool_{n}") for n in ("nikto", "playwright", "go_http_client", "curl")],
         *[F.count_if(f"target{i}") for i in range(len(WATCHED_TARGETS))],
     ]
-    return _signals(records, keys).groupBy(*keys).agg(
+    return record_signals(records, keys).groupBy(*keys).agg(
         *[v.cast("double").alias(name) for name, v in zip(_FLAT, values, strict=True)]
     )
 

@@ -72,7 +72,8 @@ _ADDED = ("failed_logins", "login_posts", "refused")
 _SEEN = tuple(f"saw_{s.lower()}" for s in FUNNEL_STAGES)
 
 
-def _slot(time: Column, seconds: int) -> Column:
+def slot_of(time: Column, seconds: int) -> Column:
+    """Number of the stretch of ``seconds`` that a time is in."""
     return F.floor(F.unix_micros(time) / (seconds * 1_000_000)).cast("bigint")
 
 
@@ -85,7 +86,7 @@ def session_slots(records: DataFrame, keys: Keys = [], gap: int = 1800) -> DataF
     slots = (
         _marked_visits(records, keys)
         .where(F.col("client_ip") != "-")
-        .withColumn("slot", _slot(F.col("time"), gap))
+        .withColumn("slot", slot_of(F.col("time"), gap))
         .groupBy(*keys, "client_ip", "slot")
         .agg(
             F.min("time").alias("start_time"), F.max("time").alias("end_time"),
@@ -93,10 +94,11 @@ def session_slots(records: DataFrame, keys: Keys = [], gap: int = 1800) -> DataF
             *[F.sum(n).alias(n) for n in _ADDED], *[F.max(n).alias(n) for n in _SEEN],
         )
     )
-    return _number_sessions(slots, keys, gap)
+    return number_sessions(slots, keys, gap)
 
 
-def _number_sessions(slots: DataFrame, keys: Keys, gap: int) -> DataFrame:
+def number_sessions(slots: DataFrame, keys: Keys, gap: int) -> DataFrame:
+    """Add ``session_index`` to slots of clients, which have ``start_time`` and ``end_time``."""
     w = Window.partitionBy(*keys, "client_ip").orderBy("slot")
     before = F.lag("end_time").over(w)
     opens = F.when(before.isNotNull() & (_seconds(F.col("start_time"), before) > gap), 1).otherwise(0)
@@ -152,7 +154,7 @@ def session_paths(
     seen = (
         visits(records, keys)
         .where(F.col("client_ip") != "-")
-        .select(*keys, "client_ip", _slot(F.col("time"), gap).alias("slot"), "path")
+        .select(*keys, "client_ip", slot_of(F.col("time"), gap).alias("slot"), "path")
         .distinct()
     )
     slots = session_slots(records, keys, gap) if slots is None else slots
@@ -184,7 +186,7 @@ def session_requests(records: DataFrame, keys: Keys = [], ctx: AnalysisContext =
     columns = [*keys, "line_id", "client_ip", "time", "method", "path", "status_code", "size", "journey_stage"]
     named = (
         join_on(
-            rows.where(F.col("client_ip") != "-").withColumn("slot", _slot(F.col("time"), gap)),
+            rows.where(F.col("client_ip") != "-").withColumn("slot", slot_of(F.col("time"), gap)),
             numbered, [*keys, "client_ip", "slot"],
         )
         .select(*columns, _session_id(F.col("client_ip"), F.col("session_index")).alias("session_id"))
@@ -337,7 +339,7 @@ def journey_steps(
     if slot_seconds > ctx.session_gap_seconds:
         raise ValueError("slot_seconds must not exceed the session gap")
     rows = visits(records, keys).withColumn("stage", journey_stage(F.col("path")))
-    named = rows.where(F.col("client_ip") != "-").withColumn("slot", _slot(F.col("time"), slot_seconds))
+    named = rows.where(F.col("client_ip") != "-").withColumn("slot", slot_of(F.col("time"), slot_seconds))
     part = [*keys, "client_ip", "slot"]
     in_slot = Window.partitionBy(*part).orderBy("time", "line_id")
     previous = F.lag("stage").over(in_slot)
@@ -352,7 +354,7 @@ def journey_steps(
     # Only rows that start a step are left. They are read twice below; written, the log is ordered once.
     starts = through_table(marked, "steps")
     order = F.struct("time", "line_id")
-    edges = _number_sessions(
+    edges = number_sessions(
         starts.groupBy(*part).agg(
             F.min("time").alias("start_time"), F.max("_slot_end").alias("end_time"),
             F.min_by("stage", order).alias("_first"), F.max_by("stage", order).alias("_last"),

@@ -15,11 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.fields import Fields, is_error_level
 from ..functions.text import strip
 from ..operators.formats import DEFAULT_YEAR, Format
-from ..operators.parsing import parse_lines
-from ..operators.rules import BUILTIN_RULES, Rule, evaluate_rules, rules_table
+from ..operators.detection import detect
+from ..operators.exports import export_files
+from ..operators.parsing import parse_auto, parse_lines
+from ..operators.rules import Rule, evaluate_rules, rules_table
 from ..operators.security import SIGNATURES, security_signals
 from ..operators.sessions import is_failed_login, is_login_path
+from ..session import through_table
 from ..sources.exports import json_line
+from ..sources.files import read_heads, read_log_lines
 
 WATERMARK = "10 minutes"
 
@@ -44,6 +48,44 @@ def stream_parse(
     return parse_lines(stream_lines(spark, path, files_per_trigger), fmt, year)
 
 
+def stream_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """New files below ``path`` (``source_file``, ``bytes``); their contents are not read."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("length").alias("bytes"))
+
+
+def run_parse_auto(
+    files: DataFrame, out: str, checkpoint: str, year: int = DEFAULT_YEAR, heads: Callable[[DataFrame], DataFrame] = read_heads
+) -> StreamingQuery:
+    """Records of new files, each read in the format its own head shows: the streaming form of ``parse_auto``.
+
+    A file arrives whole in one micro-batch, so its format is found there, from its first lines, and holds for all of it; exports whose
+    records span lines are assembled. Records go below ``out/records`` and the formats found below ``out/formats``, a folder per
+    micro-batch. ``heads`` gives the first lines of files. The names of a micro-batch's files pass the driver, as they do in the file
+    source itself; ``files_per_trigger`` bounds their number.
+    """
+
+    def handle(chunk: DataFrame, number: int) -> None:
+        spark = chunk.sparkSession
+        names = [r.source_file for r in chunk.select("source_file").collect()]
+        if not names:
+            return
+        sample = through_table(heads(spark.createDataFrame([(n,) for n in names], "source_file string")), "heads")
+        path = f"{out}/formats/chunk={number}"
+        found = detect(sample, year=year)
+        found.write.mode("overwrite").parquet(path)
+        winners = spark.read.schema(found.schema).parquet(path)
+        exports = through_table(export_files(sample, winners), "export-files")
+        some = not exports.isEmpty()
+        lines = read_log_lines(spark, names, blanks=some)
+        records = parse_auto(lines, winners, year, exports=exports if some else None)
+        records.drop("block_start").write.mode("overwrite").parquet(f"{out}/records/chunk={number}")
+
+    return run_chunks(files, handle, checkpoint)
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Append the stream to files until the input that is there now is used up."""
     return (
@@ -185,10 +227,23 @@ def window_rule_values(windows: DataFrame) -> DataFrame:
     return windows.select("window_start", F.inline(F.array(*rows))).where(F.col("value").isNotNull())
 
 
+#: Selectors that :func:`window_rule_values` fills.
+WINDOW_SELECTORS = (
+    "metadata.analyzed_records", "traffic.total_requests", "error.error_ratio", "status.http_5xx_rate", "latency.p95_ms",
+    "bandwidth.bytes_per_second",
+)
+
+
 def run_rule_alerts(
-    windows: DataFrame, out: str, checkpoint: str, rules: tuple[Rule, ...] | list[Rule] = BUILTIN_RULES
+    windows: DataFrame, out: str, checkpoint: str, rules: tuple[Rule, ...] | list[Rule]
 ) -> StreamingQuery:
-    """Insights of every closed window, written per micro-batch."""
+    """Insights of every closed window of :func:`window_metrics`, written per micro-batch.
+
+    The light form, for rules over the few measures such windows carry; other rules are refused. ``rules.run_window_rules`` takes all.
+    """
+    unfilled = sorted({r.selector for r in rules} - set(WINDOW_SELECTORS))
+    if unfilled:
+        raise ValueError(f"windows carry no value for {unfilled}; they carry {list(WINDOW_SELECTORS)}")
     write = write_chunk(out)
 
     def handle(chunk: DataFrame, number: int) -> None:

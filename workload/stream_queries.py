@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from cinderlog.operators.rules import Rule
 from cinderlog.session import scratch_dir
 from cinderlog.streaming import jobs
+from cinderlog.streaming.rules import run_window_rules, window_facts
 
 from .catalog import duck_stamp, flag, log_sql, query, r6, stamp
 from .demo_log import demo_lines
+from .parsing_queries import _MIXED_CTE, mixed_lines
+from .rule_queries import CTES as RULE_CTES, HOURLY
 from .session_queries import SECURITY_CTE, SESSION_CTE
 
 
@@ -68,11 +71,12 @@ def _json_stream(spark, sf):
 
 @query("stream_window_metrics", log_sql(f"""
 SELECT {duck_stamp('w')} AS window_start, COUNT(*) AS total_requests, COUNT(*) FILTER (WHERE level = 'ERROR') AS total_errors,
-  COUNT(*) FILTER (WHERE status_code // 100 = 5) AS status_5xx, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS total_bytes
+  COUNT(*) FILTER (WHERE status_code // 100 = 5) AS status_5xx, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS total_bytes,
+  list_extract(list_sort(list(CAST(latency_ms AS DOUBLE)) FILTER (WHERE latency_ms IS NOT NULL)), CAST(ceil(0.95::DOUBLE * COUNT(latency_ms)) AS INT)) AS p95_ms
 FROM closed GROUP BY 1""", _CLOSED))
 def _(spark, sf):
     return _table(spark, jobs.window_metrics(_json_stream(spark, sf))).select(
-        stamp("window_start").alias("window_start"), "total_requests", "total_errors", "status_5xx", "total_bytes")
+        stamp("window_start").alias("window_start"), "total_requests", "total_errors", "status_5xx", "total_bytes", "p95_ms")
 
 
 @query("stream_bursts", log_sql(f"""
@@ -115,6 +119,34 @@ def _(spark, sf):
     return spark.read.parquet(out).select(stamp("window_start").alias("window_start"), "rule_id", "observed_value")
 
 
+@query("stream_builtin_rules", log_sql(f"""
+SELECT {duck_stamp('h')} AS window_start, rule_id, category, severity, confidence, ROUND(value, 4) AS observed_value FROM insight
+WHERE h + INTERVAL 1 HOUR <= (SELECT MAX(seen) FROM jsonlog) - INTERVAL 10 MINUTES""", *RULE_CTES))
+def _(spark, sf):
+    # All built-in rules over the closed hours: the same insights as the batch analysis of these hours.
+    facts = window_facts(_json_stream(spark, sf), HOURLY)
+    out = _run(spark, facts, lambda df, out, cp: run_window_rules(df, out, cp, ctx=HOURLY))
+    return spark.read.parquet(f"{out}/insights").select(
+        stamp("window_start").alias("window_start"), "rule_id", "category", "severity", "confidence", "observed_value")
+
+
+@query("stream_parse_auto", log_sql(f"""
+SELECT line AS raw, kind AS format, CAST(bad OR kind = 'unknown' AS BIGINT) AS parse_error,
+  CASE WHEN NOT bad AND kind <> 'unknown' THEN {duck_stamp('seen')} END AS seen,
+  CASE WHEN NOT bad AND kind IN ('nginx', 'json') THEN status END AS status_code,
+  CASE WHEN NOT bad AND kind = 'syslog' THEN host END AS hostname
+FROM mixed WHERE kind <> 'windows'
+UNION ALL SELECT NULL, kind, CAST(bad AS BIGINT), CASE WHEN NOT bad THEN {duck_stamp('seen')} END, NULL, NULL FROM mixed WHERE kind = 'windows'""", _MIXED_CTE))
+def _(spark, sf):
+    path = scratch_dir(spark, "in-mixed")
+    mixed_lines(spark, sf).select("source_file", "value").repartition("source_file").write.partitionBy("source_file").text(path)
+    files = jobs.stream_files(spark, path, files_per_trigger=7)
+    out = _run(spark, files, lambda df, out, cp: jobs.run_parse_auto(df, out, cp, 2024))
+    return spark.read.parquet(f"{out}/records").select(
+        F.when(F.col("format") != "windows", F.col("raw")).alias("raw"), "format", flag("parse_error").alias("parse_error"),
+        stamp("timestamp").alias("seen"), "status_code", "hostname")
+
+
 @query("stream_security_hits", log_sql(f"""
 SELECT {duck_stamp('seen')} AS seen, source_ip AS client_ip, COALESCE(path, '') AS path, unnest(list_filter([CASE WHEN sqli THEN 'sqli' END,
   CASE WHEN xss THEN 'xss' END, CASE WHEN traversal THEN 'traversal' END, CASE WHEN rce THEN 'rce' END, CASE WHEN probe THEN 'probe' END],

@@ -58,10 +58,10 @@ def incident_groups(insights: DataFrame, keys: Keys = []) -> DataFrame:
 
 
 def incident_id(kind: Column, at: Column, rule_ids: Column) -> Column:
-    """Time and a four-digit hash of the sorted rule ids."""
+    """Time (``untimed`` for the records without one) and a four-digit hash of the sorted rule ids."""
     prefix = F.when(kind == "security", F.lit("INC-")).otherwise(F.lit("INC-PERF-"))
     mark = F.upper(F.substring(F.md5(F.array_join(rule_ids, "").cast("binary")), 1, 4))
-    return F.concat(prefix, F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), mark)
+    return F.concat(prefix, F.coalesce(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("untimed")), F.lit("-"), mark)
 
 
 def _m(name: str) -> Column:

@@ -31,11 +31,13 @@ class Analysis:
 
 
 def with_window(records: DataFrame, minutes: int = 60) -> DataFrame:
-    """Timed records with ``window_start``, the start of their tumbling window, for use as a key."""
+    """Records with ``window_start``, the start of their tumbling window, for use as a key.
+
+    Records without a time, bad lines among them, come under NULL: a key like any other, so no record is missing from the results.
+    """
     seconds = minutes * 60
     time = Fields(records).timestamp()
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(time) / seconds) * seconds)
-    return records.where(time.isNotNull()).withColumn("window_start", start)
+    return records.withColumn("window_start", F.timestamp_seconds(F.floor(F.unix_seconds(time) / seconds) * seconds))
 
 
 def window_end(minutes: int) -> Column:

@@ -66,7 +66,7 @@ _FLAT = {
     "security.injection_metrics.xss_injection_count": _N_IF.format(c="xss"),
     "security.injection_metrics.path_traversal_count": _N_IF.format(c="traversal"),
     "security.injection_metrics.rce_cmd_injection_count": _N_IF.format(c="rce"),
-    "metadata.analyzed_records": "COUNT(*)::DOUBLE", "metadata.skipped_records": "0::DOUBLE",
+    "metadata.analyzed_records": "COUNT(*)::DOUBLE", "metadata.skipped_records": _N_IF.format(c="parse_error"),
     "metadata.missing_latency_fields": _N_IF.format(c="latency_ms IS NULL"),
     "profile.nikto": _N_IF.format(c="contains(user_agent, 'Nikto')"),
     "profile.playwright": _N_IF.format(c="contains(user_agent, 'Playwright') OR contains(user_agent, 'Headless')"),
@@ -100,20 +100,24 @@ def _unpivot(cte: str, names) -> str:
 
 
 METRIC_CTES = (
-    SECURITY_CTE.replace("FROM access", "FROM jsonlog"),
+    SECURITY_CTE.replace("FROM access WHERE NOT parse_error", "FROM jsonlog"),
+    # Records without a time are a window of their own, written as the start of 1970 here so that joins meet it.
     f"""
-hourly AS (SELECT *, date_trunc('hour', seen) AS h, {stage_sql('path')} AS stage, {_LOGIN} AS login_path FROM signal WHERE seen IS NOT NULL)""",
+hourly AS (
+  SELECT *, COALESCE(date_trunc('hour', seen), TIMESTAMP '1970-01-01') AS h, CASE WHEN seen IS NOT NULL THEN {stage_sql('path')} END AS stage,
+    {_LOGIN} AS login_path FROM signal
+)""",
     f"flat AS (SELECT h, {_columns(_FLAT)} FROM hourly GROUP BY h)",
     'share AS (SELECT h, MAX(n) / SUM(n)::DOUBLE * 100.0 AS "endpoint.top_endpoint_share" FROM (SELECT h, path, COUNT(*) AS n FROM hourly GROUP BY 1, 2) GROUP BY h)',
     """
 burst AS (
   SELECT h, a AS "traffic_burst.average_rps", p AS "traffic_burst.peak_rps", p / a AS "traffic_burst.burst_ratio",
     CAST(p / a > 3 AND p >= 5 AS INT)::DOUBLE AS "traffic_burst.is_bursting"
-  FROM (SELECT h, SUM(n)::DOUBLE / 3600.0::DOUBLE AS a, MAX(n)::DOUBLE AS p FROM (SELECT h, seen, COUNT(*) AS n FROM hourly GROUP BY 1, 2) GROUP BY 1)
+  FROM (SELECT h, SUM(n)::DOUBLE / 3600.0::DOUBLE AS a, COALESCE(MAX(n) FILTER (WHERE seen IS NOT NULL), 0)::DOUBLE AS p FROM (SELECT h, seen, COUNT(*) AS n FROM hourly GROUP BY 1, 2) GROUP BY 1)
 )""",
     f"""
 gaps AS (
-  SELECT *, CASE WHEN date_diff('second', lag(seen) OVER (PARTITION BY h, source_ip ORDER BY seen, line_id), seen) > 1800 THEN 1 ELSE 0 END AS opens FROM hourly
+  SELECT *, CASE WHEN date_diff('second', lag(seen) OVER (PARTITION BY h, source_ip ORDER BY seen, line_id), seen) > 1800 THEN 1 ELSE 0 END AS opens FROM hourly WHERE seen IS NOT NULL
 ),
 joined_up AS (
   SELECT *, CASE WHEN source_ip = '-' THEN 'l' || CAST(line_id AS VARCHAR)
@@ -205,7 +209,8 @@ health AS (
     + traffic_score * 0.15::DOUBLE), security_score, reliability_score) AS BIGINT) AS overall_score FROM domain
 )"""
 CTES = (*METRIC_CTES, _RULES)
-_H = duck_stamp("h") + " AS window_start"
+TIMED = "h > TIMESTAMP '1970-01-01'"
+_H = f"CASE WHEN {TIMED} THEN {duck_stamp('h')} END AS window_start"
 
 
 @query("metrics_long", log_sql(f"SELECT {_H}, selector, ROUND(value, 6) AS value FROM metric WHERE value IS NOT NULL", *METRIC_CTES))
@@ -226,7 +231,7 @@ def _(spark, sf):
 
 @query("metrics_bundle", log_sql(f"""
 SELECT {_H}, ROUND("latency.p95_ms", 6) AS p95_ms, "status.status_categories.4xx" AS c4xx, ROUND("session.bounce_rate", 6) AS bounce_rate
-FROM flat JOIN sess USING (h)""", *METRIC_CTES))
+FROM flat LEFT JOIN sess USING (h)""", *METRIC_CTES))
 def _(spark, sf):
     nested = mt.bundle(mt.metrics_wide(hourly_metrics(spark, sf), KEYS), KEYS)
     return nested.select(
@@ -404,14 +409,14 @@ def _(spark, sf):
         joined("observed_targets").alias("targets"))
 
 
-@query("affected_ips", log_sql(f"SELECT DISTINCT {_H}, source_ip AS ip FROM hourly", *METRIC_CTES))
+@query("affected_ips", log_sql(f"SELECT DISTINCT {_H}, source_ip AS ip FROM hourly WHERE source_ip IS NOT NULL", *METRIC_CTES))
 def _(spark, sf):
     return inc.affected_ips(hourly_records(spark, sf), KEYS).select(stamp("window_start").alias("window_start"), "ip")
 
 
 @query("incident_advice", log_sql(f"""
 SELECT {_H}, 'Block offending IP address(es): ' || string_agg(ip, ', ' ORDER BY ip) AS advice FROM (
-  SELECT h, ip FROM (SELECT DISTINCT h, source_ip AS ip FROM hourly) QUALIFY row_number() OVER (PARTITION BY h ORDER BY ip) <= 3)
+  SELECT h, ip FROM (SELECT DISTINCT h, source_ip AS ip FROM hourly WHERE source_ip IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY h ORDER BY ip) <= 3)
 WHERE h IN (SELECT h FROM groups WHERE kind = 'security') GROUP BY h""", *CTES))
 def _(spark, sf):
     return hourly_incidents(spark, sf, ips=True).where("incident_class = 'security'").select(

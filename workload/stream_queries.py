@@ -12,7 +12,7 @@ from cinderlog.streaming.rules import run_window_rules, window_facts
 from .catalog import duck_stamp, flag, log_sql, query, r6, stamp
 from .demo_log import demo_lines
 from .parsing_queries import _MIXED_CTE, mixed_lines
-from .rule_queries import CTES as RULE_CTES, HOURLY
+from .rule_queries import CTES as RULE_CTES, HOURLY, TIMED
 from .session_queries import SECURITY_CTE, SESSION_CTE
 
 
@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("stream_builtin_rules", log_sql(f"""
 SELECT {duck_stamp('h')} AS window_start, rule_id, category, severity, confidence, ROUND(value, 4) AS observed_value FROM insight
-WHERE h + INTERVAL 1 HOUR <= (SELECT MAX(seen) FROM jsonlog) - INTERVAL 10 MINUTES""", *RULE_CTES))
+WHERE {TIMED} AND h + INTERVAL 1 HOUR <= (SELECT MAX(seen) FROM jsonlog) - INTERVAL 10 MINUTES""", *RULE_CTES))
 def _(spark, sf):
     # All built-in rules over the closed hours: the same insights as the batch analysis of these hours.
     facts = window_facts(_json_stream(spark, sf), HOURLY)

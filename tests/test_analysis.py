@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +9,10 @@ from cinderlog.operators import incidents, metrics, rules, security, sessions, s
 from cinderlog.operators.context import AnalysisContext
 from cinderlog.operators.parsing import parse_lines
 from cinderlog.operators.quantiles import exact_percentiles
-from cinderlog.plans.analyze import analyze
+from cinderlog.plans.analyze import analyze, window_end, with_window
 from cinderlog.plans.plugins import metric_order, register_metric, unregister_metric
 
-T0 = datetime(2026, 7, 13, 15)
+T0 = datetime(2031, 3, 9, 22, 40)
 
 
 @pytest.fixture(scope="module")
@@ -26,41 +27,41 @@ def records(spark):
     return build
 
 
-def test_traffic_volume_chain(records):
-    df = records([{"size": 100}, {"bytes_sent": "250"}, {"raw": "hello"}, {"message": "world"}, {"size": 0, "raw": "four"},
-                  {"size": 0, "body_bytes_sent": 0, "raw": "ignored"}],
-                 "size long, bytes_sent string, body_bytes_sent long, raw string, message string")
+def test_volume_takes_the_first_size_that_counts(records):
+    rows = [{"size": 7}, {"bytes_sent": "1200"}, {"size": 0, "bytes_sent": "31"}, {"raw": "twelve bytes"}, {"message": "größer"}, {"size": 0, "raw": "ab"}, {}]
+    df = records(rows, "size long, bytes_sent string, raw string, message string")
     row = st.traffic_volume(df).first()
-    assert (row.total_requests, row.volume_bytes) == (6, 100 + 250 + 5 + 5 + 4 + 0)
+    assert (row.total_requests, row.volume_bytes) == (7, 7 + 1200 + 31 + 12 + 6 + 2 + 0)
 
 
-def test_errors_and_status(records):
-    df = records([{"level": "INFO"}, {"level": "ERROR"}, {"level": "critical"}, {"level": "WARNING"}], "level string")
-    assert tuple(st.error_summary(df).first()) == (2, 0.5) and st.error_levels(df).count() == 4
-    df = records([{"status_code": 200}, {"status": "404"}, {"status_code": 500}, {"status": "200"}], "status_code int, status string")
-    assert {r.status_code: r.records for r in st.status_codes(df).collect()} == {200: 2, 404: 1, 500: 1}
-    row = st.status_categories(df).first()
-    assert (row.status_1xx, row.status_2xx, row.status_4xx, row.status_5xx, row.http_5xx_rate) == (0, 2, 1, 1, 0.25)
+def test_levels_and_codes(records):
+    levels = ["fatal", " Critical ", "error", "notice", "debug", "debug", None, "trace"]
+    df = records([{"level": v} for v in levels], "level string")
+    found = {r.level: r.records for r in st.error_levels(df).collect()}
+    wrong = sum(n for v, n in found.items() if v in ("FATAL", "CRITICAL", "ERROR"))
+    assert found["DEBUG"] == 2 and sum(found.values()) == 7
+    assert tuple(st.error_summary(df).first()) == (wrong, wrong / 8)
+    df = records([{"status_code": c} for c in (101, 204, 206, 301, 418, 418, 599)] + [{"status": "502"}, {"status": "teapot"}], "status_code int, status string")
+    assert {r.status_code: r.records for r in st.status_codes(df).collect()} == {101: 1, 204: 1, 206: 1, 301: 1, 418: 2, 599: 1, 502: 1}
+    assert tuple(st.status_categories(df).first()) == (1, 2, 1, 2, 2, 2 / 9)
 
 
 def test_latency_sizes_and_bandwidth(records):
-    df = records([{"latency": "100.5"}, {"request_time": 200.0}, {"duration_ms": 300.2}, {"latency": "-"}],
-                 "latency string, request_time double, duration_ms double")
-    p = st.latency_percentiles(df).first()
-    assert [round(v, 3) for v in p] == [200.0, 280.16, 290.18, 298.196]
-    assert round(st.latency_range(df).first().avg_ms, 2) == 200.23
-    df = records([{"size": 350}, {"size": 450}, {"size": 150}], "size long")
-    assert round(st.size_range(df).first().average, 3) == 316.667
-    assert sorted(r.bin for r in st.size_histogram(df).collect()) == ["100-199", "300-399", "400-499"]
-    df = records([{"path": "/index.html", "size": 100}, {"path": "/a", "size": 200}, {"path": "/index.html", "size": 300}], "path string, size long")
-    assert tuple(st.bandwidth_summary(df).first()) == (600, 2.0)
-    top = st.top_bandwidth_endpoints(df).orderBy(F.desc("bytes_sent")).first()
-    assert (top.endpoint, top.bytes_sent, round(top.percentage, 2)) == ("/index.html", 400, 66.67)
+    values = [13.0, 8.5, 1999.0, 77.25, 42.0, 0.125]
+    df = records([{"duration": str(v)} if i % 2 else {"time_taken": v} for i, v in enumerate(values)] + [{"duration": "soon"}], "duration string, time_taken double")
+    assert list(st.latency_percentiles(df).first()) == pytest.approx(list(np.percentile(values, [50, 90, 95, 99])))
+    assert tuple(st.latency_range(df).first()) == pytest.approx((np.mean(values), 0.125, 1999.0))
+    sizes = [64, 2048, 4095, 4096, 99]
+    df = records([{"size": n, "path": "/big" if n > 1000 else "/small"} for n in sizes], "size long, path string")
+    assert tuple(st.size_range(df).first()) == (5, sum(sizes) / 5, 64, 4096)
+    assert {r.bin: r.records for r in st.size_histogram(df, width=1024).collect()} == {"0-1023": 2, "2048-3071": 1, "3072-4095": 1, "4096-5119": 1}
+    assert tuple(st.bandwidth_summary(df, ctx=AnalysisContext(window_minutes=2)).first()) == (sum(sizes), sum(sizes) / 120)
+    top = st.top_bandwidth_endpoints(df).orderBy(F.desc("bytes_sent")).collect()
+    assert [(r.endpoint, r.bytes_sent) for r in top] == [("/big", 2048 + 4095 + 4096), ("/small", 163)]
+    assert top[0].percentage == pytest.approx(100 * 10239 / sum(sizes))
 
 
 def test_exact_percentiles_against_brute_force(spark):
-    import numpy as np
-
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.lognormal(3, 2, 3000), -rng.exponential(50, 500), np.full(1500, 42.0)])
     df = spark.createDataFrame([(int(i % 3 == 0), float(v)) for i, v in enumerate(values)], "g int, v double")
@@ -71,10 +72,15 @@ def test_exact_percentiles_against_brute_force(spark):
 
 
 def test_bursts(records):
-    df = records([{"timestamp": T0}] * 4 + [{"timestamp": T0 + timedelta(seconds=1)}] * 2, "timestamp timestamp")
-    row = st.burst_summary(df).first()
-    assert (row.average_rps, row.peak_rps, row.is_bursting) == (0.02, 4.0, False) and st.burst_windows(df).count() == 2
-    assert st.burst_summary(records([{"timestamp": T0}] * 10, "timestamp timestamp")).first().is_bursting
+    minute = AnalysisContext(window_minutes=1)
+    quiet = [{"timestamp": T0 + timedelta(seconds=3 * i)} for i in range(20)]
+    row = st.burst_summary(records([*quiet, {}, {}], "timestamp timestamp"), ctx=minute).first()
+    assert (row.average_rps, row.peak_rps, row.is_bursting) == (22 / 60, 1.0, False)
+    rush = quiet + [{"timestamp": T0 + timedelta(seconds=31, milliseconds=40 * i)} for i in range(12)]
+    df = records(rush, "timestamp timestamp")
+    row = st.burst_summary(df, ctx=minute).first()
+    assert (row.peak_rps, row.is_bursting) == (12.0, True) and row.burst_ratio == pytest.approx(12 / (32 / 60))
+    assert [(r.second, r.requests_per_second) for r in st.burst_windows(df, ctx=minute).collect()] == [(T0 + timedelta(seconds=31), 12.0)]
 
 
 def visits(records, rows):
@@ -83,15 +89,16 @@ def visits(records, rows):
 
 def test_sessions(records):
     at = lambda m, s=0: T0 + timedelta(minutes=m, seconds=s)
-    df = visits(records, [{"source_ip": "1.1.1.1", "timestamp": at(m)} for m in (0, 15, 50)] + [{"source_ip": "2.2.2.2", "timestamp": at(0)}])
-    row = sessions.session_metrics(sessions.sessions_with_paths(df)).first()
-    assert (row.active_sessions_count, row.longest_session_duration_seconds, row.bounce_rate, row.requests_per_session) == (3, 900.0, 66.67, 1.33)
+    long = [{"source_ip": "10.7.0.1", "timestamp": at(m)} for m in (0, 29, 58, 87, 150)]
+    short = [{"source_ip": "10.7.0.2", "timestamp": at(3, s)} for s in (0, 10)]
+    row = sessions.session_metrics(sessions.sessions_with_paths(visits(records, long + short))).first()
+    assert (row.active_sessions_count, row.longest_session_duration_seconds, row.bounce_rate, row.requests_per_session) == (3, 87 * 60.0, 33.33, 2.33)
     # A gap of exactly the limit does not split; unnamed requests and bad lines stand apart.
-    df = visits(records, [{"source_ip": "1.1.1.1", "timestamp": at(0)}, {"source_ip": "1.1.1.1", "timestamp": at(30)},
-                          {"source_ip": "1.1.1.1", "timestamp": at(60, 1)}, {"source_ip": "-", "timestamp": at(0)}, {"timestamp": at(0)},
-                          {"source_ip": "9.9.9.9", "timestamp": at(0), "parse_error": True}, {"source_ip": "8.8.8.8"}])
+    df = visits(records, [{"source_ip": "10.7.0.3", "timestamp": at(5)}, {"source_ip": "10.7.0.3", "timestamp": at(35)},
+                          {"source_ip": "10.7.0.3", "timestamp": at(65, 1)}, {"source_ip": "-", "timestamp": at(5)}, {"timestamp": at(5)},
+                          {"source_ip": "10.7.0.4", "timestamp": at(5), "parse_error": True}, {"source_ip": "10.7.0.5"}])
     got = {r.session_id: r.request_count for r in sessions.session_table(df).collect()}
-    assert got == {"session_1_1_1_1_0": 2, "session_1_1_1_1_1": 1, "session_anon_3": 1, "session_anon_4": 1}
+    assert got == {"session_10_7_0_3_0": 2, "session_10_7_0_3_1": 1, "session_anon_3": 1, "session_anon_4": 1}
 
 
 def test_sessions_against_brute_force(spark):
@@ -121,25 +128,29 @@ def test_sessions_against_brute_force(spark):
 
 
 def test_behaviour_and_brute_force(records):
-    bot = [{"source_ip": "3.3.3.3", "timestamp": T0 + timedelta(seconds=i), "path": "/p"} for i in range(505)]
-    stuffing = [{"source_ip": "4.4.4.4", "timestamp": T0 + timedelta(seconds=5 * i), "method": "POST", "path": "/api/v1/login", "status_code": 401} for i in range(45)]
-    table = sessions.sessions_with_paths(visits(records, bot + stuffing))
-    row = sessions.session_metrics(table).first()
-    assert (row.possible_bot_count, row.credential_stuffing_count, row.endpoint_enumeration_count) == (1, 1, 0)
-    assert [tuple(r) for r in security.failed_logins_per_ip(table).collect()] == [("4.4.4.4", 45)]
-    assert [r.client_ip for r in security.lockout_candidates(table).collect()] == ["4.4.4.4"]
-    assert security.login_failure_ratio(table).first().failure_ratio == 100.0
+    ctx = AnalysisContext(failed_logins=4, bot_requests=30, distinct_paths=6)
+    eager = [{"source_ip": "10.8.0.1", "timestamp": T0 + timedelta(minutes=i), "path": "/feed"} for i in range(31)]
+    guesses = [{"source_ip": "10.8.0.2", "timestamp": T0 + timedelta(minutes=2 * i), "method": "POST", "path": "/signin", "status_code": c}
+               for i, c in enumerate((403, 422, 200, 401, 500, 429))]
+    walker = [{"source_ip": "10.8.0.3", "timestamp": T0 + timedelta(minutes=i), "path": f"/room/{i}"} for i in range(7)]
+    table = sessions.sessions_with_paths(visits(records, eager + guesses + walker), ctx=ctx)
+    row = sessions.session_metrics(table, ctx=ctx).first()
+    assert (row.possible_bot_count, row.credential_stuffing_count, row.endpoint_enumeration_count) == (1, 1, 1)
+    assert [tuple(r) for r in security.failed_logins_per_ip(table).collect()] == [("10.8.0.2", 5)]
+    assert [r.client_ip for r in security.lockout_candidates(table, ctx=ctx).collect()] == ["10.8.0.2"]
+    assert security.login_failure_ratio(table).first().failure_ratio == 83.33
 
 
 def test_security_signatures(records):
     df = records([
-        {"path": "/?id=1%20UNION%20SELECT%201", "user_agent": "Mozilla"}, {"path": "/?q=<script>x", "user_agent": "Mozilla"},
-        {"path": "/../../etc/passwd", "user_agent": "Mozilla"}, {"path": "/.env", "status_code": 404, "user_agent": "Mozilla"},
-        {"path": "/", "user_agent": "HeadlessChrome/114"}, {"path": "/?a=Or 1 = 1"}, {"path": "/café?q=UNıON x"},
+        {"path": "/find?k=7%20union%20all%20select%20name", "user_agent": "Browser 3"}, {"path": "/find?k=or%201%3D1", "user_agent": "Browser 3"},
+        {"path": "/note?t=%3Csvg%20onload%20=%20go()%3E", "user_agent": "Browser 3"}, {"path": "/file?f=..%2F..%2Fkeys", "user_agent": "Browser 3"},
+        {"path": "/run?x=base64", "user_agent": "-"}, {"path": "/backup.zip", "status_code": 404, "user_agent": "Selenium grid"},
+        {"path": "/reunion selected works"}, {"path": "/für?q=UNİON"},
     ], "path string, user_agent string, status_code int")
-    assert tuple(security.injection_counts(df).first()) == (2, 1, 1, 0)
-    assert tuple(security.bot_user_agents(df).first()) == (2, 1)
-    assert security.error_404_ratio(df).first()[0] == 14.29 and security.scanner_hits(df).first().hits == 1
+    assert tuple(security.injection_counts(df).first()) == (3, 1, 1, 1)  # the pattern knows no word borders
+    assert tuple(security.bot_user_agents(df).first()) == (3, 1)
+    assert security.error_404_ratio(df).first()[0] == 12.5 and security.scanner_hits(df).first().hits == 1
 
 
 def test_rules_and_text(spark, records):
@@ -154,22 +165,37 @@ def test_rules_and_text(spark, records):
         rules.rules_table(spark, [rules.Rule("b", "B", "c", "low", "x", "ne", 1.0, "")])
 
 
+def access_line(ip, path, status, agent, second):
+    return f'{ip} - - [09/Mar/2031:22:40:{second:02d} +0000] "GET {path} HTTP/1.1" {status} 77 "-" "{agent}"'
+
+
 def test_analysis_end_to_end(lines):
-    ua = ["Nikto/2.1.6", "Playwright/1.39", "Go-http-client/2.0"]
-    text = [f'185.220.101.47 - - [10/Jul/2026:20:53:{10 + i} +0000] "GET {p} HTTP/1.1" 404 10 "-" "{ua[i % 3]}"' for i, p in enumerate(["/.env", "/wp-admin", "/q?id=1%20OR%201=1", "/a", "/b"])]
-    result = analyze(parse_lines(lines(*text, '1.1.1.1 - - [10/Jul/2026:20:54:00 +0000] "GET / HTTP/1.1" 200 10'), "nginx"))
+    agents = ["curl/9.1", "Nikto/3.0", "Go-http-client/3"]
+    paths = ["/phpinfo", "/x?q=union%20select%20a", "/cgi-bin/y", "/gone", "/gone/too", "/.git"]
+    text = [access_line("198.51.100.9", p, 404, agents[i % 3], i) for i, p in enumerate(paths)]
+    result = analyze(parse_lines(lines(*text, access_line("198.51.100.10", "/", 200, "Browser 3", 9)), "nginx"))
     incident = result.incidents.where("incident_class = 'security'").first()
     assert incident.incident_id.startswith("INC-") and incident.severity == "CRITICAL"
-    assert set(incident.suspected_tools) == {"Nikto", "Playwright (headless)", "Go-http-client"}
+    assert set(incident.suspected_tools) == {"Nikto", "curl", "Go-http-client"}
     assert any("Nikto" in e for e in incident.evidence) and incident.recommendations[0].startswith("Block offending IP")
-    assert {r.ip for r in result.affected_ips.collect()} == {"185.220.101.47", "1.1.1.1"}
+    assert {r.ip for r in result.affected_ips.collect()} == {"198.51.100.9", "198.51.100.10"}
     health = result.health.first()
     assert health.overall_score < 100 and health.security_score < 100 and health.traffic_status in ("HEALTHY", "WARNING")
     assert result.timeline.count() >= 2
 
 
+def test_windows_keep_records_without_a_time(lines):
+    text = [access_line("198.51.100.9", "/a", 200, "Browser 3", 1), "no time in this line", "nor in this one"]
+    result = analyze(with_window(parse_lines(lines(*text), "nginx"), 60), ["window_start"], at=window_end(60))
+    found = {(r.window_start, r.selector): r.value for r in result.metrics.collect()}
+    hour = datetime(2031, 3, 9, 22)
+    assert found[hour, "metadata.analyzed_records"] == 1 and found[hour, "metadata.skipped_records"] == 0
+    assert found[None, "metadata.analyzed_records"] == 2 and found[None, "metadata.skipped_records"] == 2
+    assert {r.window_start for r in result.health.collect()} == {hour, None}
+
+
 def test_no_rules_and_empty_input(spark, lines):
-    result = analyze(parse_lines(lines('1.1.1.1 - - [10/Jul/2026:20:54:00 +0000] "GET / HTTP/1.1" 200 10'), "nginx"), rules=[])
+    result = analyze(parse_lines(lines(access_line("198.51.100.9", "/", 200, "Browser 3", 3)), "nginx"), rules=[])
     assert result.insights.count() == 0 and result.incidents.count() == 0
     assert (result.health.first().overall_score, result.health.first().status) == (100, "HEALTHY")
     empty = parse_lines(spark.createDataFrame([], "line_id long, source_file string, value string"), "nginx")

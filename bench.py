@@ -17,11 +17,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from cinderlog.operators.parsing import parse_lines  # noqa: E402
+from cinderlog.operators.detection import detect, sample_head  # noqa: E402
+from cinderlog.operators.parsing import parse_auto, parse_lines  # noqa: E402
 from cinderlog.plans.analyze import analyze, measure, window_end  # noqa: E402
-from cinderlog.session import local_session  # noqa: E402
+from cinderlog.session import local_session, through_table  # noqa: E402
 from workload import load_all  # noqa: E402
 from workload.demo_log import demo_lines, written_once  # noqa: E402
+from workload.parsing_queries import mixed_lines  # noqa: E402
 from workload.rule_queries import HOURLY, KEYS, hourly_records  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -62,13 +64,23 @@ def main() -> None:
     for name, (raw, fmt) in FORMATS.items():
         copies = written_once(
             spark, SF_DIR, f"{raw}-x{COPIES}",
-            lambda: demo_lines(spark, SF_DIR, raw).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))),
+            # In enough files for all cores: the derived table is a single one.
+            lambda: demo_lines(spark, SF_DIR, raw).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).repartition(2 * int(CPUS)),
         )
         lines = copies.count()
         key = f"parse_{name}_x{COPIES}"
         cold[key], warm[key] = timed(lambda: drain(parse_lines(copies, fmt, 2024)))
         rates[name] = round(lines / warm[key])
 
+    mixed = written_once(
+        spark, SF_DIR, f"mixed-x{COPIES}",
+        lambda: mixed_lines(spark, SF_DIR).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).repartition(2 * int(CPUS)),
+    )
+    winners = through_table(detect(sample_head(mixed_lines(spark, SF_DIR)), year=2024), "winners")
+    key = f"parse_auto_x{COPIES}"
+    cold[key], warm[key] = timed(lambda: drain(parse_auto(mixed, winners, 2024)))
+    rates["parse_auto"] = round(mixed.count() / warm[key])
+
     for name in QUERIES:
         cold[name], warm[name] = timed(lambda: drain(catalog.QUERIES[name](spark, SF_DIR)))
 

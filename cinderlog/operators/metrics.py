@@ -158,9 +158,12 @@ def _column_of(percentile: float) -> str:
 
 
 def metric_pieces(
-    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext()
+    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext(), session_table: DataFrame | None = None
 ) -> list[Callable[[], DataFrame]]:
-    """The independent parts of ``metrics_long``, each a job of its own with the same three columns."""
+    """The independent parts of ``metrics_long``, each a job of its own with the same three columns.
+
+    ``session_table``: ``sessions_with_paths`` of the records where the caller has it already.
+    """
 
     def flat() -> DataFrame:
         return to_long(flat_metrics(records, keys, ctx), keys, {c: c for c in _FLAT})
@@ -177,7 +180,8 @@ def metric_pieces(
     def sessions() -> DataFrame:
         names = {s.rsplit(".", 1)[1]: s for s in SESSION_SELECTORS + BRUTE_FORCE_SELECTORS}
         names |= {f"saw_{s.lower()}": f"journey.funnel.{s}" for s in FUNNEL_STAGES}
-        return to_long(session_rollup(sessions_with_paths(records, keys, ctx), keys, ctx), keys, names)
+        table = sessions_with_paths(records, keys, ctx) if session_table is None else session_table
+        return to_long(session_rollup(table, keys, ctx), keys, names)
 
     return [flat, sessions, lambda: percentile_metrics(records, keys, ctx), endpoints, bursts]
 

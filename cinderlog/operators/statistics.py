@@ -18,8 +18,8 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
-def stats_summary(records: DataFrame, keys: Keys = []) -> DataFrame:
-    """Lines, parse error rate, 5xx rate, time range and bytes."""
+def stats_summary(records: DataFrame, keys: Keys = [], extra: list[Column] = []) -> DataFrame:
+    """Lines, parse error rate, 5xx rate, time range and bytes; ``extra`` aggregates (named) join the same pass."""
     f = Fields(records)
     code = f.integer("status_code")
     size_name = next((n for n in ("size", "bytes_sent", "body_bytes_sent") if f.has(n)), "size")
@@ -32,6 +32,7 @@ def stats_summary(records: DataFrame, keys: Keys = []) -> DataFrame:
         F.min(f.timestamp()).alias("first_time"),
         F.max(f.timestamp()).alias("last_time"),
         F.coalesce(F.sum(size), F.lit(0.0)).cast("bigint").alias("bytes_transferred"),
+        *extra,
     )
 
 

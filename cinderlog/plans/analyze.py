@@ -15,7 +15,7 @@ from ..operators.incidents import (
 from ..operators.metrics import metric_pieces
 from ..operators.rules import BUILTIN_RULES, Rule, evaluate_rules, rules_table
 from ..session import through_tables
-from .plugins import extra_metrics
+from .plugins import builtin_tables, extra_metrics
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ def measure(records: DataFrame, keys: Keys = [], ctx: AnalysisContext = Analysis
 
     It has one small row set per key; what follows reads it several times.
     """
-    extra = [lambda df=df: df for df in extra_metrics(records, keys, ctx)]
-    return through_tables(records.sparkSession, metric_pieces(records, keys, ctx) + extra, "metrics")
+    tables = builtin_tables(records, keys, ctx)
+    extra = [lambda df=df: df for df in extra_metrics(records, keys, ctx, tables)]
+    return through_tables(records.sparkSession, metric_pieces(records, keys, ctx, tables.get("session")) + extra, "metrics")
 
 
 def analyze(

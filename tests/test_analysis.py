@@ -9,7 +9,7 @@ from cinderlog.operators import incidents, metrics, rules, security, sessions, s
 from cinderlog.operators.context import AnalysisContext
 from cinderlog.operators.parsing import parse_lines
 from cinderlog.operators.quantiles import exact_percentiles
-from cinderlog.plans.analyze import analyze, window_end, with_window
+from cinderlog.plans.analyze import analyze, measure, window_end, with_window
 from cinderlog.plans.plugins import metric_order, register_metric, unregister_metric
 
 T0 = datetime(2031, 3, 9, 22, 40)
@@ -213,6 +213,28 @@ def test_keys_add_up(lines):
         assert whole[name] == sum(p[name] for p in parts)
 
 
+def test_dependencies_deliver_their_tables(lines, monkeypatch):
+    calls, plain = [], sessions.sessions_with_paths
+
+    def counted(*args):
+        calls.append(1)
+        return plain(*args)
+
+    monkeypatch.setattr(sessions, "sessions_with_paths", counted)
+    monkeypatch.setattr(metrics, "sessions_with_paths", counted)
+    text = [access_line(f"198.51.100.{i % 3}", "/a", 200, "Browser 3", i) for i in range(10)]
+    job = lambda records, keys, ctx, tables: tables["session"].groupBy(*keys).agg(F.sum("request_count").alias("visits.all"))
+    register_metric("visits", job, ("visits.all",), dependencies=("session",))
+    register_metric("guests", lambda r, k, c, t: t["visits"].select(*k, (F.col("`visits.all`") - 1).alias("visits.less")), ("visits.less",), dependencies=("visits", "endpoint"))
+    try:
+        found = {r.selector: r.value for r in measure(parse_lines(lines(*text), "nginx")).collect()}
+    finally:
+        unregister_metric("guests")
+        unregister_metric("visits")
+    assert (found["visits.all"], found["visits.less"], found["session.active_sessions_count"]) == (10.0, 9.0, 3.0)
+    assert len(calls) == 1
+
+
 def test_metric_registry():
     job = lambda records, keys, ctx: records
     register_metric("one", job, ("one.x",), dependencies=("session",))

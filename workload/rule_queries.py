@@ -343,6 +343,27 @@ def _(spark, sf):
         unregister_metric("admin")
 
 
+@query("register_metric_on_sessions", log_sql(f"""
+SELECT {_H}, 'visits.longest' AS selector, MAX(n)::DOUBLE AS value FROM hour_session GROUP BY h
+UNION ALL SELECT {_H}, 'visits.many', CAST(MAX(n) >= 3 AS INT)::DOUBLE FROM hour_session GROUP BY h""", *METRIC_CTES))
+def _(spark, sf):
+    # A metric reads the session table, another one what the first made of it; requests are put into sessions once.
+    from cinderlog.plans.plugins import register_metric, unregister_metric
+
+    register_metric(
+        "longest", lambda records, keys, ctx, tables: tables["session"].groupBy(*keys).agg(F.max("request_count").alias("visits.longest")),
+        produces=("visits.longest",), dependencies=("session",))
+    register_metric(
+        "many", lambda records, keys, ctx, tables: tables["longest"].select(*keys, (F.col("`visits.longest`") >= 3).alias("visits.many")),
+        produces=("visits.many",), dependencies=("longest",))
+    try:
+        long = measure(hourly_records(spark, sf), KEYS, HOURLY)
+        return long.where("selector LIKE 'visits.%'").withColumn("window_start", stamp("window_start"))
+    finally:
+        unregister_metric("many")
+        unregister_metric("longest")
+
+
 @query("insight_rollup", log_sql("SELECT rule_id, severity, category, COUNT(*) AS triggered FROM insight GROUP BY 1, 2, 3", *CTES))
 def _(spark, sf):
     return rl.insight_rollup(hourly_insights(spark, sf))

@@ -25,6 +25,31 @@ def join_on(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner") -
     return left.join(right, same, how).drop(*names)
 
 
+#: Rows of a bucket of keys from which they are dealt to PARTS tasks, and the number of buckets.
+OFTEN, PARTS, BUCKETS = 100_000, 32, 1 << 16
+
+
+def join_dealt(
+    many: DataFrame, few: DataFrame, keys: Keys, rows: Column, often: int = OFTEN, parts: int = PARTS
+) -> DataFrame:
+    """``join_on`` of ``many`` rows per key with one row per key of ``few``, where some keys may own a large share of all rows.
+
+    ``rows``, over ``few``, is the number of rows of ``many`` with the key. Keys fall into a fixed number of buckets; rows of buckets
+    that hold many are dealt over several tasks, and their keys are sent to each of these. The table of such buckets, at most
+    ``BUCKETS`` numbers, is the only one broadcast.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    sizes = few.select(bucket.alias("_bucket"), rows.alias("_rows")).groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))
+    hot = F.broadcast(sizes.where(F.col("_rows") > often).select("_bucket", F.lit(True).alias("_hot")))
+    own = F.pmod(F.xxhash64(*many.columns), F.lit(parts)).cast("int")
+    left = many.withColumn("_bucket", bucket).join(hot, "_bucket", "left")
+    left = left.withColumn("_part", F.when(F.col("_hot"), own).otherwise(F.lit(0))).drop("_bucket", "_hot")
+    right = few.withColumn("_bucket", bucket).join(hot, "_bucket", "left")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("_part", F.explode(every)).drop("_bucket", "_hot")
+    return join_on(left, right, [*keys, "_part"]).drop("_part")
+
+
 def with_totals(df: DataFrame, totals: DataFrame, keys: Keys) -> DataFrame:
     """Add the columns of ``totals`` (one row per key): a scalar subquery without keys, an equi-join with."""
     if keys:

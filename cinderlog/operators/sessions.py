@@ -15,7 +15,7 @@ from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, journey_stage
 from ..functions.text import contains_any
 from ..session import through_table
 from .context import AnalysisContext
-from .grouping import Keys, join_on, ratio, with_totals
+from .grouping import Keys, join_dealt, join_on, ratio, with_totals
 
 # Words that mark a login path, and statuses that mark a refused request.
 LOGIN_WORDS = ("login", "auth", "signin")
@@ -182,12 +182,15 @@ def session_requests(records: DataFrame, keys: Keys = [], ctx: AnalysisContext =
     """Every request with its session and stage: the long form of a session's request list."""
     gap = ctx.session_gap_seconds
     rows = visits(records, keys).withColumn("journey_stage", journey_stage(F.col("path")))
-    numbered = session_slots(records, keys, gap).select(*keys, "client_ip", "slot", "session_index")
+    # Read for the sizes of the slots and for their numbers.
+    numbered = through_table(
+        session_slots(records, keys, gap).select(*keys, "client_ip", "slot", "session_index", "request_count"), "slots"
+    )
     columns = [*keys, "line_id", "client_ip", "time", "method", "path", "status_code", "size", "journey_stage"]
     named = (
-        join_on(
+        join_dealt(
             rows.where(F.col("client_ip") != "-").withColumn("slot", slot_of(F.col("time"), gap)),
-            numbered, [*keys, "client_ip", "slot"],
+            numbered, [*keys, "client_ip", "slot"], F.col("request_count"),
         )
         .select(*columns, _session_id(F.col("client_ip"), F.col("session_index")).alias("session_id"))
     )

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # The JVM never compiles methods above this size; wide projections then run in smaller methods instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streamed session windows are merged in each task before their shuffle, so a busy client cannot overload one task.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 #: Settings that can only be given when a session is started.

@@ -25,8 +25,8 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], latin1: str = "f
 
     ``line_id`` is unique and rises within a block; (``block_start``, ``line_id``) is file order. With ``blanks``, blank lines are kept:
     records that span lines may hold some.
-    ``latin1`` says how text that is not UTF-8 is read: ``file`` reads the whole file as Latin-1 (one more
-    scan, which only lists the files concerned), ``line`` just the line, ``off`` leaves it.
+    ``latin1`` says how text that is not UTF-8 is read: ``file`` reads the whole file as Latin-1 (the lines are written once, so
+    that the files are scanned once), ``line`` just the line, ``off`` leaves it.
     """
     lines = spark.read.text(paths).select(
         F.monotonically_increasing_id().alias("line_id"),
@@ -53,13 +53,20 @@ def _as_latin1(value: Column) -> Column:
 
 
 def latin1_fallback(lines: DataFrame) -> DataFrame:
-    """Read every file that holds a line outside UTF-8 as Latin-1, all of it."""
-    odd = lines.where(~F.is_valid_utf8("value")).select("source_file").distinct().withColumn("_latin1", F.lit(True))
-    # Written: it is both counted and joined, and finding it takes a scan.
-    odd = through_table(odd, "latin1-files")
-    joined = lines.join(odd, "source_file", "left")
-    value = F.when(F.col("_latin1"), _as_latin1(F.col("value"))).otherwise(F.col("value"))
-    return joined.withColumn("value", value).select(*lines.columns)
+    """Read every file that holds a line outside UTF-8 as Latin-1, all of it.
+
+    The lines are scanned once: they are written as bytes with a mark on those outside UTF-8, and which way a file is read is
+    settled on reading them back, from the marks alone. Their ids are those written, whatever scans follow.
+    """
+    others = [c for c in lines.columns if c != "value"]
+    held = through_table(
+        lines.select(*others, F.col("value").cast("binary").alias("_bytes"), F.coalesce(~F.is_valid_utf8("value"), F.lit(False)).alias("_odd")),
+        "raw-lines",
+    )
+    odd = held.where("_odd").select("source_file").distinct().withColumn("_latin1", F.lit(True))
+    joined = held.join(odd, "source_file", "left")
+    text = F.when(F.col("_latin1"), F.decode(F.col("_bytes"), "ISO-8859-1")).otherwise(F.col("_bytes").cast("string"))
+    return joined.withColumn("value", text).select(*lines.columns)
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

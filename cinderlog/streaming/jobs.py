@@ -174,10 +174,9 @@ def window_bursts(records: DataFrame, minutes: int = 5, watermark: str = WATERMA
 def closed_sessions(records: DataFrame, gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Sessions of named clients as they close.
 
-    Rows of a busy client are merged in each task before they are shuffled, so it cannot overload one task.
+    With the library's session settings (``session.SETTINGS``), rows of a busy client are merged in each task before they are shuffled,
+    so it cannot overload one task.
     """
-    spark = records.sparkSession
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     f = Fields(records)
     path = F.coalesce(f.filled("path"), F.lit("/"))
     failed = is_failed_login(F.col("method"), F.col("path"), F.col("status_code"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from cinderlog.operators import explore, incidents as inc, metrics as mt, rules as rl, security as sec
+from cinderlog.operators import explore, incidents as inc, members as mb, metrics as mt, rules as rl, security as sec
 from cinderlog.operators.context import AnalysisContext
 from cinderlog.plans.analyze import insights_per_window, measure, window_end, with_window
+from cinderlog.session import through_table
 
 from .catalog import duck_stamp, flag, joined, log_sql, query, r6, stamp, stored_json
 from .demo_log import written_once
@@ -239,6 +242,45 @@ def _(spark, sf):
         F.col("status.status_categories.4xx").alias("c4xx"), r6("session.bounce_rate").alias("bounce_rate"))
 
 
+_SCALARS = [s for s in mt.SELECTORS if not s.startswith("profile.")]
+
+
+@query("metrics_bundle_all", log_sql(f"""
+SELECT {_H}, {', '.join(f'ROUND(MAX(value) FILTER (WHERE selector = {chr(39)}{s}{chr(39)}), 6) AS "{s.replace('.', '__')}"' for s in _SCALARS)}
+FROM metric GROUP BY h""", *METRIC_CTES))
+def _(spark, sf):
+    nested = mt.bundle(mt.metrics_wide(hourly_metrics(spark, sf), KEYS), KEYS)
+    return nested.select(stamp("window_start").alias("window_start"), *[r6(s).alias(s.replace(".", "__")) for s in _SCALARS])
+
+
+@query("bundle_members", log_sql(f"""
+SELECT {_H}, member, name, value, ROUND(share, 6) AS share, CAST(rank AS INT) AS rank FROM (
+  SELECT h, 'error.errors_by_level' AS member, level AS name, COUNT(*)::DOUBLE AS value, NULL::DOUBLE AS share, NULL AS rank FROM hourly WHERE level IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT h, 'status.status_codes', CAST(status_code AS VARCHAR), COUNT(*), NULL, NULL FROM hourly WHERE status_code IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT h, 'endpoint.top_endpoints', name, n, n * 100.0::DOUBLE / total, by_n FROM listed WHERE by_n <= 5
+  UNION ALL SELECT h, 'bandwidth.top_bandwidth_endpoints', name, b, CASE WHEN total_b > 0 THEN b * 100.0::DOUBLE / total_b ELSE 0 END, by_b FROM listed WHERE by_b <= 5
+  UNION ALL (SELECT h, 'distribution.top_ips', source_ip, COUNT(*), NULL, row_number() OVER (PARTITION BY h ORDER BY COUNT(*) DESC, source_ip) AS r
+    FROM hourly WHERE source_ip <> '-' GROUP BY h, source_ip QUALIFY r <= 3)
+  UNION ALL SELECT h, 'distribution.response_sizes.histogram', CAST(size // 500 * 500 AS VARCHAR) || '-' || CAST(size // 500 * 500 + 499 AS VARCHAR), COUNT(*), NULL, NULL
+    FROM hourly WHERE size IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT h, 'traffic_burst.burst_windows', {duck_stamp('seen')}, n, n / a, NULL FROM (
+    SELECT h, seen, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY h) / 3600.0::DOUBLE AS a FROM hourly GROUP BY 1, 2) WHERE seen IS NOT NULL AND n >= GREATEST(3 * a, 2)
+  UNION ALL SELECT h, 'security.scanner_metrics.scanned_ips', source_ip, COUNT(*), NULL, NULL FROM hourly WHERE probe GROUP BY 1, 3
+  UNION ALL SELECT h, 'security.brute_force.failed_logins_per_ip', ip, SUM(failures), NULL, NULL FROM hour_session WHERE ip <> '-' GROUP BY 1, 3 HAVING SUM(failures) > 0
+  UNION ALL SELECT h, 'security.enumeration.distinct_endpoints_per_ip', source_ip, COUNT(DISTINCT path), NULL, NULL FROM hourly WHERE source_ip <> '-' GROUP BY 1, 3)""",
+    *METRIC_CTES, """
+listed AS (
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY n DESC, name) AS by_n, row_number() OVER (PARTITION BY h ORDER BY b DESC, name) AS by_b,
+    SUM(n) OVER (PARTITION BY h) AS total, SUM(b) OVER (PARTITION BY h) AS total_b
+  FROM (SELECT h, COALESCE(path, 'unknown') AS name, COUNT(*) AS n, SUM(COALESCE(size, 0)) AS b FROM hourly GROUP BY 1, 2)
+)"""))
+def _(spark, sf):
+    ctx = replace(HOURLY, top_ips_limit=3, histogram_bucket_size=500)
+    counts = through_table(mb.member_counts(hourly_records(spark, sf), KEYS, ctx), "member-counts")
+    return mb.bundle_members(counts, KEYS, ctx).select(
+        stamp("window_start").alias("window_start"), "member", "name", "value", r6("share").alias("share"), "rank")
+
+
 @query("threat_level", log_sql(f"""
 SELECT {_H}, CASE WHEN injections > 0 OR locked > 0 THEN 'Critical Security Alert' WHEN probes > 0 OR missing > 15 THEN 'High Scanning Activity'
   WHEN headless > 0 OR failure_ratio > 20 THEN 'Suspicious Bot Behavior' ELSE 'Low Risk Profile' END AS threat FROM wide""", *CTES))

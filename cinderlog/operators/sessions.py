@@ -15,7 +15,7 @@ from ..functions.fields import FUNNEL_STAGES, STAGES, Fields, journey_stage
 from ..functions.text import contains_any
 from ..session import through_table
 from .context import AnalysisContext
-from .grouping import Keys, join_dealt, join_on, ratio, with_totals
+from .grouping import BUCKETS, OFTEN, Keys, join_dealt, join_on, ratio, with_totals
 
 # Words that mark a login path, and statuses that mark a refused request.
 LOGIN_WORDS = ("login", "auth", "signin")
@@ -68,6 +68,8 @@ def _marked_visits(records: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
+#: Lines of a block of a busy second.
+_LINES = 1 << 14
 _ADDED = ("failed_logins", "login_posts", "refused")
 _SEEN = tuple(f"saw_{s.lower()}" for s in FUNNEL_STAGES)
 
@@ -331,52 +333,87 @@ def funnel_conversion(sessions: DataFrame, keys: Keys = []) -> DataFrame:
     )
 
 
+def _stretch(hot: Column) -> list[Column]:
+    """Stretch of a slot that a request is in, in the order of time and line: one for all of a slot that is not ``hot``.
+
+    Hot slots are cut by hundredths of a second; requests dated to whole seconds, which come first in theirs, by blocks of lines as well.
+    """
+    micros = F.unix_micros("time")
+    block = F.when(micros % 1_000_000 == 0, F.floor(F.col("line_id") / _LINES)).otherwise(F.lit((1 << 62)))
+    zero = F.lit(0).cast("bigint")
+    return [
+        F.when(hot, F.floor(micros / 10_000)).otherwise(zero).cast("bigint").alias("_at"),
+        F.when(hot, block).otherwise(zero).cast("bigint").alias("_block"),
+    ]
+
+
+def _chained(edges: DataFrame, w) -> DataFrame:
+    """Add to stretches in order whether their first step goes on with the last one before (``_joins``), and the steps before them."""
+    joins = F.coalesce((F.lag("_last").over(w) == F.col("_first")).cast("int"), F.lit(0))
+    edges = edges.withColumn("_joins", joins).withColumn("_own", F.col("_steps") - F.col("_joins"))
+    return edges.withColumn("_before", F.sum("_own").over(w) - F.col("_own"))
+
+
 def journey_steps(
-    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext(), slot_seconds: int = 60
+    records: DataFrame, keys: Keys = [], ctx: AnalysisContext = AnalysisContext(), slot_seconds: int = 60, often: int = OFTEN
 ) -> DataFrame:
     """Stages in visiting order with repeats collapsed: one row per step, ``step`` from 1 in each session.
 
-    Rows are ordered within short slots of one client; slots are then joined end to end through one row
-    each. No task has to order a whole session. ``slot_seconds`` must not exceed the session gap.
+    Rows are ordered within short slots of one client, and a slot with more than ``often`` rows within short stretches of it. Stretches are
+    joined end to end through one row each (first stage, last stage, steps), then slots in the same way, so no task has to order a whole
+    session, nor a busy minute. ``slot_seconds`` must not exceed the session gap.
     """
     if slot_seconds > ctx.session_gap_seconds:
         raise ValueError("slot_seconds must not exceed the session gap")
     rows = visits(records, keys).withColumn("stage", journey_stage(F.col("path")))
-    named = rows.where(F.col("client_ip") != "-").withColumn("slot", slot_of(F.col("time"), slot_seconds))
     part = [*keys, "client_ip", "slot"]
-    in_slot = Window.partitionBy(*part).orderBy("time", "line_id")
-    previous = F.lag("stage").over(in_slot)
+    named = rows.where(F.col("client_ip") != "-").withColumn("slot", slot_of(F.col("time"), slot_seconds))
+    named = named.select(*part, "time", "line_id", "stage").withColumn("_bucket", F.pmod(F.xxhash64(*part), F.lit(BUCKETS)))
+    # At most BUCKETS numbers: buckets of slots that hold many rows.
+    busy = F.broadcast(named.groupBy("_bucket").count().where(F.col("count") > often).select("_bucket", F.lit(True).alias("_hot")))
+    named = named.join(busy, "_bucket", "left")
+    named = named.select(*part, "time", "line_id", "stage", *_stretch(F.coalesce("_hot", F.lit(False))))
+    stretch = [*part, "_at", "_block"]
+    inside = Window.partitionBy(*stretch).orderBy("time", "line_id")
+    previous = F.lag("stage").over(inside)
     marked = (
-        named.select(*part, "time", "line_id", "stage")
-        .withColumn("_starts", F.when(previous.isNull() | (previous != F.col("stage")), 1).otherwise(0))
-        .withColumn("_nth", F.sum("_starts").over(in_slot))
-        .withColumn("_slot_end", F.max("time").over(Window.partitionBy(*part)))
+        named.withColumn("_starts", F.when(previous.isNull() | (previous != F.col("stage")), 1).otherwise(0))
+        .withColumn("_nth", F.sum("_starts").over(inside))
+        .withColumn("_end", F.max("time").over(Window.partitionBy(*stretch)))
         .where(F.col("_starts") == 1)
         .drop("_starts")
     )
     # Only rows that start a step are left. They are read twice below; written, the log is ordered once.
     starts = through_table(marked, "steps")
     order = F.struct("time", "line_id")
-    edges = number_sessions(
-        starts.groupBy(*part).agg(
-            F.min("time").alias("start_time"), F.max("_slot_end").alias("end_time"),
+    stretches = _chained(
+        starts.groupBy(*stretch).agg(
+            F.min("time").alias("start_time"), F.max("_end").alias("end_time"),
             F.min_by("stage", order).alias("_first"), F.max_by("stage", order).alias("_last"),
             F.count(F.lit(1)).alias("_steps"),
         ),
+        Window.partitionBy(*part).orderBy("_at", "_block"),
+    )
+    stretches = through_table(stretches, "stretches")
+    place = F.struct("_at", "_block")
+    slots = number_sessions(
+        stretches.groupBy(*part).agg(
+            F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+            F.min_by("_first", place).alias("_first"), F.max_by("_last", place).alias("_last"), F.sum("_own").alias("_steps"),
+        ),
         keys, ctx.session_gap_seconds,
     )
-    session = Window.partitionBy(*keys, "client_ip", "session_index").orderBy("slot")
-    continues = F.coalesce((F.lag("_last").over(session) == F.col("_first")).cast("int"), F.lit(0))
-    edges = edges.withColumn("_continues", continues)
-    own = F.col("_steps") - F.col("_continues")
-    edges = edges.withColumn("_offset", F.sum(own).over(session) - own)
+    slots = _chained(slots, Window.partitionBy(*keys, "client_ip", "session_index").orderBy("slot"))
+    slots = slots.select(*part, "session_index", "_steps", F.col("_joins").alias("_slot_joins"), F.col("_before").alias("_slot_before"))
+    placed = join_on(stretches.select(*stretch, "_joins", "_before"), slots.drop("_steps"), part)
+    nth = F.col("_before") + F.col("_nth") - F.col("_joins")
     steps = (
-        join_on(starts, edges.select(*part, "session_index", "_continues", "_offset"), part)
-        .where(F.col("_nth") > F.col("_continues"))
+        join_on(starts.select(*stretch, "_nth", "stage"), placed, stretch)
+        .where((F.col("_nth") > F.col("_joins")) & (nth > F.col("_slot_joins")))
         .select(
             *keys, "client_ip",
             _session_id(F.col("client_ip"), F.col("session_index")).alias("session_id"),
-            (F.col("_offset") + F.col("_nth") - F.col("_continues")).cast("bigint").alias("step"),
+            (F.col("_slot_before") + nth - F.col("_slot_joins")).cast("bigint").alias("step"),
             "stage",
         )
     )

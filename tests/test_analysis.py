@@ -120,11 +120,30 @@ def test_sessions_against_brute_force(spark):
             if not steps.get(key) or steps[key][-1] != stage:
                 steps.setdefault(key, []).append(stage)
     assert {r.line_id: r.session_id for r in sessions.session_requests(df).collect()} == expected
-    got = {}
-    for r in sessions.journey_steps(df).orderBy("session_id", "step").collect():
-        got.setdefault(r.session_id, []).append(r.stage)
-        assert len(got[r.session_id]) == r.step
-    assert got == steps
+    for often in (sessions.OFTEN, 2):
+        got = {}
+        for r in sessions.journey_steps(df, often=often).orderBy("session_id", "step").collect():
+            got.setdefault(r.session_id, []).append(r.stage)
+            assert len(got[r.session_id]) == r.step
+        assert got == steps
+
+
+def test_busy_minute_of_one_client(spark, monkeypatch):
+    """All requests within one minute, many at the same time: cut into stretches, with the journey of a whole ordering."""
+    monkeypatch.setattr(sessions, "_LINES", 64)
+    paths = ["/", "/cart", "/pay", "/x"]
+    df = spark.range(3000).select(
+        F.col("id").alias("line_id"), F.lit("c").alias("source_ip"), F.element_at(F.array(*map(F.lit, paths)), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")).alias("path"),
+        F.timestamp_micros(F.lit(1_900_000_020_000_000) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(30)) * 1_000_000 + F.when(F.col("id") % 3 == 0, F.col("id") * 7 % 20_000).otherwise(0)).alias("timestamp"),
+    )
+    stage = dict(zip(paths, ("Landing", "Cart", "Checkout", "Other")))
+    want = []
+    for r in df.orderBy("timestamp", "line_id").collect():
+        if not want or want[-1] != stage[r.path]:
+            want.append(stage[r.path])
+    for often in (10, sessions.OFTEN):
+        got = sessions.journey_steps(df, often=often).orderBy("step").collect()
+        assert [r.stage for r in got] == want and [r.step for r in got] == list(range(1, len(want) + 1))
 
 
 def test_behaviour_and_brute_force(records):

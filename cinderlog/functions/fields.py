@@ -195,6 +195,14 @@ def template_path(col: Column, templates: tuple[tuple[str, str], ...] = PATH_TEM
 # Visitor stages in funnel order, and the rest.
 FUNNEL_STAGES = ("Landing", "Products", "Product", "Cart", "Checkout")
 STAGES = FUNNEL_STAGES + ("Other",)
+# The pages of each stage, by their whole path, how it starts, or how it ends.
+STAGE_PAGES = (
+    ("Landing", "is", ("", "/home", "/index.html", "/index.htm", "/index")),
+    ("Products", "starts", ("/products", "/catalog", "/category", "/search")),
+    ("Product", "starts", ("/product", "/item", "/details")),
+    ("Cart", "ends", ("/cart", "/shopping-cart")),
+    ("Checkout", "starts", ("/checkout", "/pay", "/billing", "/purchase")),
+)
 
 
 def _any(tests) -> Column:
@@ -202,18 +210,13 @@ def _any(tests) -> Column:
 
 
 def journey_stage(path: Column) -> Column:
-    """Stage of a visit that a path belongs to."""
+    """Stage of a visit that a path belongs to: the first one that has such a page."""
     page = F.rtrim(F.substring_index(F.lower(path), "?", 1), F.lit("/"))
-    starts = lambda *words: _any(F.startswith(page, F.lit(w)) for w in words)
-    ends = lambda *words: _any(F.endswith(page, F.lit(w)) for w in words)
-    return (
-        F.when(page.isin("", "/home", "/index.html", "/index.htm", "/index"), "Landing")
-        .when(starts("/products", "/catalog", "/category", "/search"), "Products")
-        .when(starts("/product", "/item", "/details"), "Product")
-        .when(ends("/cart", "/shopping-cart"), "Cart")
-        .when(starts("/checkout", "/pay", "/billing", "/purchase"), "Checkout")
-        .otherwise("Other")
-    )
+    tests = {"is": lambda w: page == w, "starts": lambda w: F.startswith(page, F.lit(w)), "ends": lambda w: F.endswith(page, F.lit(w))}
+    out = F.lit(STAGES[-1])
+    for stage, how, words in reversed(STAGE_PAGES):
+        out = F.when(_any(map(tests[how], words)), stage).otherwise(out)
+    return out
 
 
 def record_id(fields: Fields, line_no: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fields import Fields, severity_rank
 from .grouping import Keys, ranked_per_key
 from .metrics import metrics_wide
-from .security import WATCHED_TARGETS, TOOLS, scanner_hits
+from .security import PROBE_PATHS, WATCHED_TARGETS, TOOLS
 
 # Capabilities, evidence, titles and recommendations.
 BRUTE_FORCE = "Credential Stuffing / Brute Force"
@@ -22,6 +22,23 @@ PERFORMANCE_TITLE = "System Performance & Reliability Degradation"
 DEFAULT_TOOLS, DEFAULT_CAPABILITIES, DEFAULT_TARGETS = (
     "Automated Script / Bot", "Web Probing", "General Web Endpoints",
 )
+TITLES = {
+    BRUTE_FORCE: "Credential Stuffing & Authentication Attack Campaign",
+    DISCOVERY: "Automated Reconnaissance & Probe Campaign",
+    EMULATION: "Automated Bot Threat Campaign",
+}
+DEFAULT_TITLE = "Security Anomaly & Threat Incident"
+EVIDENCE = {
+    "headless": "[+] Headless browser fingerprint footprint detected",
+    "probes": "[+] Sensitive probe paths (.env, wp-admin, config) accessed",
+    "missing": ("[+] Abnormally high 404 response ratio (", "%)"),
+    "logins": ("[+] Multiple failed authentication attempts (", " source IPs)"),
+    "scanner": "[+] Known security scanner User-Agent (Nikto)",
+    "latency": ("[+] High P99 Latency (", "ms)"),
+    "errors": ("[+] Elevated error rate (", "%)"),
+    "security": ("[+] ", " correlated security rule alerts co-occurring"),
+    "performance": ("[+] ", " performance/reliability SLA threshold breaches"),
+}
 SECURITY_ADVICE = (
     "Enable strict rate-limiting on authentication and API probe endpoints",
     "Inspect web server access logs for unauthorized file access or data leakage",
@@ -81,47 +98,40 @@ def capability_tests() -> dict[str, Column]:
     }
 
 
+def _around(kind: str, text: Column) -> Column:
+    before, after = EVIDENCE[kind]
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
+def _lines_or_count(lines: Column, kind: str) -> Column:
+    return F.when(F.size(lines) > 0, lines).otherwise(F.array(_around(kind, F.col("insight_count").cast("string"))))
+
+
 def security_evidence() -> Column:
     tests = capability_tests()
-    lines = F.array_compact(F.array(
-        F.when(tests[EMULATION], F.lit("[+] Headless browser fingerprint footprint detected")),
-        F.when(tests[DISCOVERY], F.lit("[+] Sensitive probe paths (.env, wp-admin, config) accessed")),
-        F.when(tests[ENUMERATION], F.concat(
-            F.lit("[+] Abnormally high 404 response ratio ("),
-            _one_decimal(_m("security.enumeration.error_404_ratio")), F.lit("%)"))),
-        F.when(tests[BRUTE_FORCE], F.concat(
-            F.lit("[+] Multiple failed authentication attempts ("),
-            _m("security.brute_force.failing_ip_count").cast("bigint").cast("string"), F.lit(" source IPs)"))),
-        F.when(_m("profile.nikto") > 0, F.lit("[+] Known security scanner User-Agent (Nikto)")),
-    ))
-    default = F.array(F.concat(
-        F.lit("[+] "), F.col("insight_count").cast("string"),
-        F.lit(" correlated security rule alerts co-occurring")))
-    return F.when(F.size(lines) > 0, lines).otherwise(default)
+    failing = _m("security.brute_force.failing_ip_count").cast("bigint").cast("string")
+    return _lines_or_count(F.array_compact(F.array(
+        F.when(tests[EMULATION], F.lit(EVIDENCE["headless"])),
+        F.when(tests[DISCOVERY], F.lit(EVIDENCE["probes"])),
+        F.when(tests[ENUMERATION], _around("missing", _one_decimal(_m("security.enumeration.error_404_ratio")))),
+        F.when(tests[BRUTE_FORCE], _around("logins", failing)),
+        F.when(_m("profile.nikto") > 0, F.lit(EVIDENCE["scanner"])),
+    )), "security")
 
 
 def performance_evidence() -> Column:
-    lines = F.array_compact(F.array(
-        F.when(_m("latency.p99_ms") != 0, F.concat(
-            F.lit("[+] High P99 Latency ("), _one_decimal(_m("latency.p99_ms")), F.lit("ms)"))),
-        F.when(_m("error.total_errors") > 0, F.concat(
-            F.lit("[+] Elevated error rate ("), _one_decimal(_m("error.error_ratio") * 100.0), F.lit("%)"))),
-    ))
-    default = F.array(F.concat(
-        F.lit("[+] "), F.col("insight_count").cast("string"),
-        F.lit(" performance/reliability SLA threshold breaches")))
-    return F.when(F.size(lines) > 0, lines).otherwise(default)
+    return _lines_or_count(F.array_compact(F.array(
+        F.when(_m("latency.p99_ms") != 0, _around("latency", _one_decimal(_m("latency.p99_ms")))),
+        F.when(_m("error.total_errors") > 0, _around("errors", _one_decimal(_m("error.error_ratio") * 100.0))),
+    )), "performance")
 
 
 def incident_title(kind: Column) -> Column:
     tests = capability_tests()
-    return (
-        F.when(kind == "performance", PERFORMANCE_TITLE)
-        .when(tests[BRUTE_FORCE], "Credential Stuffing & Authentication Attack Campaign")
-        .when(tests[DISCOVERY], "Automated Reconnaissance & Probe Campaign")
-        .when(tests[EMULATION], "Automated Bot Threat Campaign")
-        .otherwise("Security Anomaly & Threat Incident")
-    )
+    out = F.when(kind == "performance", PERFORMANCE_TITLE)
+    for capability, title in TITLES.items():
+        out = out.when(tests[capability], title)
+    return out.otherwise(DEFAULT_TITLE)
 
 
 def _or_default(items: list[Column], default: str) -> Column:
@@ -203,15 +213,13 @@ def correlate_incidents(
 def affected_ips(records: DataFrame, keys: Keys = []) -> DataFrame:
     """Distinct addresses of a security incident, long form: every record's, and the scanners'.
 
-    Clients with paths or lockouts are records' clients already, but through more aliases.
+    Clients with paths or lockouts are records' clients already, but through more aliases. The records are read once.
     """
     f = Fields(records)
-    from_records = records.select(*keys, f.first_filled("source_ip", "ip").alias("ip"))
-    enumerating = records.where(~f.is_bad()).select(*keys, f.client_ip().alias("ip")).where(F.col("ip") != "-")
-    probing = scanner_hits(records, keys).select(*keys, F.col("client_ip").alias("ip"))
-    return (
-        from_records.unionByName(enumerating).unionByName(probing).where(F.col("ip").isNotNull()).distinct()
-    )
+    good, client = ~f.is_bad(), f.client_ip()
+    probing = good & F.coalesce(f.text("path"), F.lit("")).rlike(PROBE_PATHS)
+    ips = F.array(f.first_filled("source_ip", "ip"), F.when(good & (client != "-"), client), F.when(probing, client))
+    return records.select(*keys, F.explode(F.array_distinct(F.array_compact(ips))).alias("ip")).distinct()
 
 
 def incident_timeline(insights: DataFrame, keys: Keys, at: Column) -> DataFrame:

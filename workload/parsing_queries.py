@@ -169,13 +169,22 @@ _SUFFIX_CASES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SUFFIX))
 
 
 @query("extension_filter", f"""
-WITH files AS (SELECT 'in/f' || CAST(event_id AS VARCHAR) || CASE event_id % 8 {_SUFFIX_CASES} END AS source_file FROM events)
-SELECT source_file FROM files WHERE regexp_matches(lower(source_file), '\\.(log|txt|json|csv|gz)$')""")
-def _(spark, sf):
-    files = table(spark, sf, "events").selectExpr(
-        f"'in/f' || CAST(event_id AS STRING) || CASE event_id % 8 {_SUFFIX_CASES} END AS source_file"
-    )
-    return extension_filter(files)
+WITH files AS (SELECT DISTINCT user_id % 5 AS folder, event_id % 8 AS kind, CASE event_id % 8 {_SUFFIX_CASES} END AS suffix FROM events)
+SELECT 'f' || CAST(folder AS VARCHAR) || '_' || CAST(kind AS VARCHAR) || suffix AS name FROM files
+WHERE regexp_matches(lower(suffix), '\\.(log|txt|json|csv|gz)$')""")
+def _(spark, sf):
+    # A folder of files whose names are given by the events; it is listed, nothing is read.
+    names = table(spark, sf, "events").selectExpr(
+        f"'f' || CAST(user_id % 5 AS STRING) || '_' || CAST(event_id % 8 AS STRING) || CASE event_id % 8 {_SUFFIX_CASES} END AS name"
+    ).distinct()
+    root = scratch_dir(spark, "suffixes")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in names.collect():  # forty names at most
+        out = fs.create(fs_path(f"{root}/{row.name}"))
+        out.write(10)  # Spark does not list empty files
+        out.close()
+    return extension_filter(list_files(spark, root)).select(F.substring_index("source_file", "/", -1).alias("name"))
 
 
 # -- parsing ---------------------------------------------------------------------------------------------
@@ -497,6 +506,15 @@ def _(spark, sf):
     return detect_formats(format_scores(_quality(spark, sf))).select("source_file", "format", r6("confidence").alias("confidence"))
 
 
+@query("detect_from_heads", log_sql("SELECT DISTINCT source_file, kind AS format FROM mixed", _MIXED_CTE))
+def _(spark, sf):
+    # Only the first lines of each file are read.
+    path = scratch_dir(spark, "in-heads")
+    mixed_lines(spark, sf).select("source_file", "value").repartition("source_file").write.partitionBy("source_file").text(path)
+    found = detect(read_heads(list_files(spark, path)), year=2024)
+    return found.select(F.regexp_extract("source_file", "source_file=([^/]+)", 1).alias("source_file"), "format")
+
+
 @query("format_ambiguity", log_sql(
     "SELECT source_file, CAST(close_ones > 0 AS BIGINT) AS ambiguous, alternatives FROM winner", _MIXED_CTE, _QUALITY_CTE))
 def _(spark, sf):

@@ -188,14 +188,15 @@ def _(spark, sf):
 @query("document_signatures", r"""
 SELECT doc_id, regexp_matches(text, 'union\s+select|union\s+all\s+select|or\s+1\s*=\s*1|or\s+''1''\s*=\s*''1''', 'i')::INT AS sqli,
   regexp_matches(text, '\$\{jndi:|cmd\s*=|powershell|base64', 'i')::INT AS rce,
-  regexp_matches(text, '<script|javascript:|onerror\s*=|onload\s*=', 'i')::INT AS xss
+  regexp_matches(text, '<script|javascript:|onerror\s*=|onload\s*=', 'i')::INT AS xss,
+  regexp_matches(text, '\.\./|\.\.\\|%2e%2e', 'i')::INT AS traversal
 FROM (SELECT doc_id, url_decode('  ' || text) AS text FROM documents)""")
 def _(spark, sf):
     from .catalog import table
 
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"))
     return sec.security_signals(docs, [], {"doc_id": F.col("doc_id")}).select(
-        "doc_id", *[F.col(c).cast("int").alias(c) for c in ("sqli", "rce", "xss")])
+        "doc_id", *[F.col(c).cast("int").alias(c) for c in ("sqli", "rce", "xss", "traversal")])
 
 
 @query("scanner_hits", log_sql("SELECT source_ip AS client_ip, COUNT(*) AS hits FROM signal WHERE probe GROUP BY 1", SECURITY_CTE))

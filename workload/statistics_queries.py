@@ -293,11 +293,11 @@ def _(spark, sf):
 
 
 @query("top_endpoints_by_client", log_sql("""
-SELECT source_ip, path AS endpoint, COUNT(*) AS requests FROM access WHERE path IS NOT NULL GROUP BY 1, 2
-QUALIFY row_number() OVER (PARTITION BY source_ip ORDER BY COUNT(*) DESC, path) <= 3"""))
+SELECT source_ip, CASE WHEN path IS NOT NULL THEN path WHEN request IS NOT NULL THEN split_part(request, ' ', 2) ELSE 'unknown' END AS endpoint,
+  COUNT(*) AS requests FROM access GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY source_ip ORDER BY COUNT(*) DESC, endpoint) <= 3"""))
 def _(spark, sf):
-    named = stored_access(spark, sf).where("path IS NOT NULL")
-    return st.top_endpoints(named, ["source_ip"], 3).select("source_ip", "endpoint", "requests")
+    return st.top_endpoints(stored_access(spark, sf), ["source_ip"], 3).select("source_ip", "endpoint", "requests")
 
 
 @query("top_paths", log_sql("SELECT path, COUNT(*) AS requests FROM access WHERE path IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))

@@ -8,52 +8,105 @@ their unfilled sequences, which are dealt anew with those of other partitions an
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of, written
+from .common import SLICE, slices, texts_of, written
+from .words import gather, read_words
 
 LENGTH, END = 2048, 0
 #: Pieces of a partition, and rounds of exchange.
 PART, ROUNDS = 4096, 4
-#: White-space-delimited words that a worker remembers.
-_WORDS = 400_000
+#: Words that a worker remembers in each of two generations, and bytes of the longest remembered one.
+_WORDS, _LONGEST = 1 << 18, 64
+_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[^a-z0-9\x80-\xff]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
     """Token ids of whole texts. The tokenizer never merges across white space, so a text's ids are those of its words in turn,
-    and every word is handed to the library once."""
+    and every different word of a slice is looked up once. A new word of ASCII and Latin letters is put together from its runs of letters, its digits
+    and what is between them, which the tokenizer keeps apart as well; new runs of letters go to the library many at a time."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_str(spec), {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the tokenizer
-            return self._encoded([text])[0]
-        parts = text.split()
-        known = self.known
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        if new:
-            if len(known) + len(new) > _WORDS:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], self._encoded(new[i : i + 4096])))
-        return b"".join([known[w] for w in parts])
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.library = Tokenizer.from_str(spec)
+        kept = json.loads(spec)
+        ending = kept["model"].get("end_of_word_suffix")
+        last = [False] * self.library.get_vocab_size()
+        for token, i in kept["model"]["vocab"].items():
+            last[i] = bool(ending) and token.endswith(ending)
+        self.last = np.array(last)
+        # ASCII without the apostrophe, which starts endings, and the bracket, which starts added tokens; Latin letters in two bytes.
+        self.plain = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z" if ending else rb"(?!)")
+        self.new, self.old = {}, {}
+        self.new_runs, self.old_runs = {}, {}
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts after each other, and how many each has."""
+        words = read_words(texts)
+        held = self._known(words.known.to_pylist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        own = size[words.number]
+        values = gather(np.frombuffer(b"".join(held), "<u4"), (np.cumsum(size) - size)[words.number], own)
+        ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(words.sizes)]
+        return values, np.diff(ends, prepend=0)
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, as bytes."""
+        new, old = self.new.get, self.old.get
+        found = [new(w) for w in words]
+        absent = [i for i, f in enumerate(found) if f is None]
+        for i in absent:
+            found[i] = old(words[i])
+        missing = [i for i in absent if found[i] is None]
+        plain = [i for i in missing if self.plain.match(words[i])]
+        split = [_RUN.findall(w.lower() if w.isascii() else w.decode().lower().encode()) for w in [words[i] for i in plain]]
+        runs = self._runs(dict.fromkeys(r for parts in split for r in parts))
+        for i, parts in zip(plain, split):
+            found[i] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[r] for r in parts])
+        others = [i for i in missing if found[i] is None]
+        for i, ids in zip(others, self._encoded([words[i].decode() for i in others])):
+            found[i] = np.array(ids, "<u4").tobytes()
+        if len(self.new) + len(absent) > _WORDS:
+            self.old, self.new = self.new, {}
+        self.new.update([(words[i], found[i]) for i in absent if len(words[i]) <= _LONGEST])
+        return found
+
+    def _runs(self, runs: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that are one word each to the tokenizer, as bytes."""
+        new, old = self.new_runs.get, self.old_runs.get
+        out = {r: new(r) for r in runs}
+        absent = [r for r, f in out.items() if f is None]
+        out.update((r, old(r)) for r in absent)
+        missing = [r for r in absent if out[r] is None]
+        for a in range(0, len(missing), 512):
+            part = missing[a : a + 512]
+            ids = np.array(self._encoded([b" ".join(part).decode()])[0], "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end every word with a mark of its own")
+            out.update(zip(part, [ids[i:j].tobytes() for i, j in zip([0, *ends.tolist()], ends.tolist())]))
+        if len(self.new_runs) + len(absent) > _WORDS:
+            self.old_runs, self.new_runs = self.new_runs, {}
+        self.new_runs.update([(r, out[r]) for r in absent if len(r) <= _LONGEST])
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for a in range(0, len(texts), 4096):
+            out += [e.ids for e in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,12 +123,15 @@ def pieces(docs: DataFrame, spec: str, length: int = LENGTH, end: int = END, key
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(shared.value)
         for part in parts:
-            rows = []
-            for doc, body in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
-                ids = machine.ids(body) + tail
-                for n, at in enumerate(range(0, len(ids), 4 * length)):
-                    own = ids[at : at + 4 * length]
-                    rows.append((doc, n, at // 4, len(own) // 4, zlib.crc32(own)))
+            rows, docs_of, texts = [], part.column(0).to_pylist(), texts_of(part.column(1))
+            for a, b in slices(texts, 4 * SLICE):
+                values, counts = machine.ids(texts[a:b])
+                ends = np.cumsum(counts).tolist()
+                for doc, first, last in zip(docs_of[a:b], [0, *ends], ends):
+                    ids = values[first:last].tobytes() + tail
+                    for n, at in enumerate(range(0, len(ids), 4 * length)):
+                        own = ids[at : at + 4 * length]
+                        rows.append((doc, n, at // 4, len(own) // 4, zlib.crc32(own)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 

@@ -16,13 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import slices, texts_of
 from .recompression import Grammar
+from .words import read_words
 
 #: Places of grids looked at in one go.
 PLACES = 1 << 21
 #: A run repeats its period at least so often, and has at least so many words.
 TIMES, LEAST = 4, 6
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
 RUN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("start", "length", "period")])
 _RUNS = pa.list_(pa.struct([pa.field(n, pa.int64(), False) for n in ("start", "length", "period")]))
 
@@ -88,33 +87,10 @@ def runs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[order], start[order], length[order], p[order]
 
 
-def read_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words, each followed by a blank; their lengths in bytes; a number for each, equal for equal words; and the
-    number of words of every text. Words are runs of other than ASCII white space."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
-    ink = ~_WHITE[data]
-    edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
-    if ink[0]:
-        edge = np.concatenate([[0], edge])
-    begin, close = edge[::2], edge[1::2]
-    length = close - begin
-    sizes = np.diff(np.searchsorted(begin, ends), prepend=0)
-    if not len(begin):
-        return np.zeros(0, np.uint8), length, length, sizes
-    offsets = np.concatenate([[0], np.cumsum(length)])
-    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[ink])])
-    number = held.dictionary_encode().indices.to_numpy().astype(np.int64)
-    spaced = data.copy()
-    spaced[close] = 32
-    ink[close] = True
-    return spaced[ink], length, number, sizes
-
-
 def _slice(texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Number of words, runs and collapsed text of every text."""
-    data, length, number, sizes = read_words(texts)
+    words = read_words(texts)
+    data, length, number, sizes = words.spaced, words.length, words.number, words.sizes
     text, start, extent, period = runs(number, sizes)
     change = np.zeros(len(number) + 1, np.int64)
     head = np.cumsum(sizes) - sizes

@@ -25,6 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
 from .common import SLICE, slices, texts_of
+from .words import gather
 
 #: The mark that stands for a blank inside pieces (a fixed value of the model format).
 BLANK = "▁"
@@ -252,7 +253,7 @@ class PieceBpe:
         number, get = coded.indices.to_numpy(), self.new.get
         found = [get(t) or self._stretch_bytes(t) for t in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        values = _gather(np.frombuffer(b"".join(found), "<i4"), (np.cumsum(size) - size)[number], size[number])
+        values = gather(np.frombuffer(b"".join(found), "<i4"), (np.cumsum(size) - size)[number], size[number])
         held = np.concatenate([[0], np.cumsum(size[number])])
         return values, np.diff(held[np.searchsorted(place, ends)], prepend=0)
 
@@ -354,7 +355,7 @@ class PieceBpe:
             size[lead] -= 1
             at[lead] += 1
             length = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(held)])]
-            texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(length), pa.py_buffer(_gather(self.raw, at, size)))
+            texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(length), pa.py_buffer(gather(self.raw, at, size)))
             odd = np.flatnonzero(np.bincount(np.repeat(np.arange(b - a), held)[self.odd[ids]], minlength=b - a))
             if len(odd):
                 mask = np.zeros(b - a, bool)
@@ -370,12 +371,6 @@ class PieceBpe:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
-def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Stretches of ``flat`` that start at ``at`` and have ``size`` values, after each other."""
-    ends = np.cumsum(size)
-    return flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 @functools.lru_cache(maxsize=2)
 def coder(model: bytes) -> PieceBpe:
     """One per Python worker: the stretches and pairs met by a task serve the next."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if not now[0] or tuple(now) == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found.written_path = links.written_path
+            return found
         before = tuple(now)
-        links = written(_small_star(written(_large_star(links), "large-star")), "small-star")
+        large = written(_large_star(links), "large-star")
+        links, used = written(_small_star(large), "small-star"), links
+        discard(large, used)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

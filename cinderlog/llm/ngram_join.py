@@ -22,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mixed, texts_of, written
+from .common import discard, mixed, texts_of, written
 from .components import components
 from .shingles import shingle_sets
 
-#: The most frequent shingles that are put last; which they are only matters for speed. Their share of all hashes that is counted.
-FREQUENT, COUNTED = 1 << 18, 0.3
+#: The most frequent shingles that are put last; which they are only matters for speed.
+FREQUENT = 1 << 18
 #: Buckets of the filter that goes before a join with texts.
 FILTER = 1 << 18
 _HELD = 2_000_000
+_CLASHES = 1000
 _LIGHT = 1 << 61  # added to frequent shingles, whose hashes have 61 bits then
 
 
@@ -39,12 +40,15 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int, int]:
-    """Two sums over the set, and a number made from both and the size."""
+def fingerprint(s: np.ndarray) -> tuple[int, int, int, int]:
+    """Two sums over the set, which with its size tell it from all others, and two numbers made from them."""
     a = mixed(s + np.uint64(0x1B873593)).sum(dtype=np.uint64)
     b = np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))
-    node = mixed(np.array([a ^ (b << np.uint64(1)) ^ np.uint64(len(s))], np.uint64))[0]
-    return tuple(int(np.int64(np.uint64(x).astype(np.int64))) for x in (a, b, node))
+    made = np.array([a ^ (b << np.uint64(1)) ^ np.uint64(len(s)), b ^ (a << np.uint64(3)) ^ np.uint64(~len(s) & (2**64 - 1))], np.uint64)
+    return tuple(int(np.int64(np.uint64(x).astype(np.int64))) for x in (a, b, *mixed(made)))
+
+
+_ROW = ("doc_id", "t1", "t2", "n", "a", "b", "node", "other")
 
 
 def _summaries(words: int):
@@ -57,33 +61,76 @@ def _summaries(words: int):
             value, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             value, count = value[count > 1].astype(np.int64), count[count > 1]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array(value), pa.array(count)], names=names)
+            flag = pa.array(np.zeros(len(value), bool))
+            return pa.RecordBatch.from_arrays([flag, *[none] * len(_ROW), pa.array(value), pa.array(count)], names=names)
 
         for part in parts:
             rows = []
-            for row, doc, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(texts_of(part.column(2)), words)):
+            ids = [part.column(i).to_pylist() for i in range(3)]
+            for own, s in zip(zip(*ids), shingle_sets(texts_of(part.column(3)), words)):
                 if not len(s):
-                    rows.append((row, doc, 0, None, None, None))
+                    rows.append((*own, 0, None, None, None, None))
                     continue
-                a, b, node = fingerprint(s)
-                rows.append((row, doc, len(s), a, b, node))
-                if node not in seen:
+                marks = fingerprint(s)
+                rows.append((*own, len(s), *marks))
+                if marks[:2] not in seen:
                     if len(seen) > _HELD:
                         seen.clear()
-                    seen.add(node)
-                    low = s[: int(np.searchsorted(s, np.uint64(int(COUNTED * (1 << 62)))))]
-                    held.append(low)
-                    size += len(low)
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
+                    seen.add(marks[:2])
+                    held.append(s)
+                    size += len(s)
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(_ROW))]
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), bool)), *columns, none, none], names=names)
             if size > _HELD:
                 yield several()
                 held, size = [], 0
         yield several()
 
-    names = ["row", "doc_id", "n", "a", "b", "node", "shingle", "count"]
-    return run, ", ".join(f"{c} long" for c in names)
+    names = ["is_row", *_ROW, "shingle", "count"]
+    return run, "is_row boolean, " + ", ".join(f"{c} long" for c in names[1:])
+
+
+def _frequent(summary: DataFrame) -> np.ndarray:
+    """At most FREQUENT shingles that are more frequent than all others, from a histogram of their counts."""
+    often = written(summary.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n")), "often")
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    least, held = None, 0
+    for row in often.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some hundred rows
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row["step"]
+    found = often.where(step >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64) if least is not None else np.zeros(0, np.int64)
+    discard(often)
+    return np.sort(found.astype(np.uint64))
+
+
+def _repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in order of shingle and set: each once, and only shingles of several sets. All of frequent shingles are handed on."""
+    last, before, given = None, None, False  # the shingle, its entry met last, and whether that went on
+    for part in parts:
+        if not part.num_rows:
+            continue
+        shingle, node, place = (part.column(i).to_numpy() for i in range(3))
+        if before is not None:
+            shingle, node, place = (np.concatenate([[x], c]) for x, c in zip(before, (shingle, node, place)))
+        same = shingle[1:] == shingle[:-1]
+        again = np.concatenate([[False], same & (node[1:] == node[:-1])])
+        # The first row was met before if there was one: it goes on unless it did already.
+        fresh = np.flatnonzero(~again)
+        s = shingle[fresh]
+        pair = s[1:] == s[:-1]
+        keep = np.concatenate([[False], pair]) | np.concatenate([pair, [False]]) | (s >= _LIGHT)
+        keep[0] |= given
+        out = keep.copy()
+        if before is not None and given:
+            out[0] = False
+        chosen = fresh[out]
+        if len(chosen):
+            yield pa.RecordBatch.from_arrays([pa.array(c[chosen]) for c in (shingle, node, place)], names=["shingle", "node", "place"])
+        end = fresh[-1]
+        before, given = (shingle[end], node[end], place[end]), bool(keep[-1])
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -99,27 +146,35 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``, which should be a table (it is read more than once).
+    """``doc_id, t1, t2, n_shingles, component_id`` for every row of ``docs``, which should be a table (it is read more than once).
 
-    Texts null, empty or blank have no shingles and link with nothing. Equal texts link, repeated rows too; rows are nodes, so an id that
-    appears with several texts joins none of them. ``component_id`` is the smallest id of the component, for a row alone its own.
+    ``t1`` and ``t2`` are two hashes of the text. Texts null, empty or blank have no shingles and link with nothing. Equal texts link,
+    repeated rows too; rows are nodes, so an id that appears with several texts joins none of them. ``component_id`` is the smallest id of
+    the component, for a row alone its own. A very long text is read in parts; its set is held as 8 bytes a shingle. Other columns, whatever
+    their names, are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # A text is known by two hashes of it, whichever scan and partition it comes from.
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.lit(1), F.col(text)).alias("t1"), F.xxhash64(F.lit(2), F.col(text)).alias("t2"),
+        F.col(text).alias("text"),
+    )
     run, schema = _summaries(words)
     summary = written(rows.mapInArrow(run, schema), "summaries")
-    sets = summary.where("row IS NOT NULL")
-    classes = sets.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("row").alias("row"), F.min("n").alias("n"), F.min("doc_id").alias("first"),
-        ((F.min("a") != F.max("a")) | (F.min("b") != F.max("b")) | (F.min("n") != F.max("n"))).alias("clash"),
-    )
+    sets = summary.where("is_row")
+    classes = sets.where("node IS NOT NULL").groupBy("a", "b", "n").agg(
+        F.min("node").alias("node"), F.min("other").alias("other"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("first")
+    )
     classes = written(classes, "classes")
-    if classes.where("clash").limit(1).count():
-        raise RuntimeError("two different sets have one number; choose other constants for the fingerprint")
-
-    often = summary.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n"))
-    often = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toPandas()["shingle"]
-    frequent = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).astype(np.uint64)))
+    # Different sets with one number (two among some billions): these sets take their other number.
+    clashes = {r.node for r in classes.groupBy("node").count().where("count > 1").select("node").limit(_CLASHES + 1).collect()}
+    if len(clashes) > _CLASHES:
+        raise RuntimeError("too many different sets have one number; choose other constants for the fingerprint")
+    if clashes:
+        number = F.when(F.col("node").isin(*clashes), F.col("other")).otherwise(F.col("node"))
+        classes, sets = classes.withColumn("node", number), sets.withColumn("node", number)
+    classes = classes.select("node", "n", "first", "t.t1", "t.t2")
+    frequent = spark.sparkContext.broadcast(_frequent(summary))
 
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first shingles of every set: shingle, set, and its size and the place in one number."""
@@ -127,7 +182,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         for part in parts:
             held = []
             for s in shingle_sets(texts_of(part.column(0)), words):
-                if not len(s) or (node := fingerprint(s)[2]) in seen:
+                if not len(s):
+                    continue
+                _, _, node, other = fingerprint(s)
+                node = other if node in clashes else node
+                if node in seen:
                     continue
                 if len(seen) > _HELD:
                     seen.clear()
@@ -137,27 +196,32 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["shingle", "node", "place"])
 
-    index = written(rows.select("text").mapInArrow(entries, "shingle long, node long, place long"), "index")
-    shared = index.groupBy("shingle").count().where("count > 1").select("shingle")
+    entry = "shingle long, node long, place long"
+    # Most shingles are in one set only. Their entries go on the way: the lists of the few frequent shingles are dealt to several tasks,
+    # the others are no longer than the least frequent of these.
+    salt = F.when(F.col("shingle") >= _LIGHT, F.pmod("node", F.lit(64))).otherwise(0)
+    index = rows.select("text").mapInArrow(entries, entry).repartition("shingle", salt).sortWithinPartitions("shingle", "node")
     band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(100 / percent)))
-    lists = index.join(shared, "shingle").select("shingle", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("at"))
+    lists = index.mapInArrow(_repeated, entry).select("shingle", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("at"))
     lists = written(lists.withColumn("band", band(F.col("n")).cast("int")), "lists")
 
     def sets_of(pairs: DataFrame, label: str) -> DataFrame:
         """Whole sets of all sets in the pairs, from one text of each class."""
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("row", "node")
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("t1", "t2", "node")
 
         def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 found = [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(1)), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
 
-        # At most FILTER numbers go to every task, to leave most other texts where they are.
-        bucket = F.pmod(F.xxhash64("row"), F.lit(FILTER)).alias("bucket")
-        wanted = written(wanted, f"{label}-rows")
+        # At most FILTER numbers go to every task, to leave most other texts where they are. Of equal texts each task sends one.
+        bucket = F.pmod("t1", F.lit(FILTER)).alias("bucket")
+        wanted = written(wanted, f"{label}-texts")
         few = F.broadcast(wanted.select(bucket).distinct())
-        chosen = rows.select("row", "text", bucket).join(few, "bucket", "left_semi").join(wanted, "row").select("node", "text")
-        return written(chosen.mapInArrow(whole, "node long, s array<long>"), label)
+        chosen = rows.select("t1", "t2", "text", bucket).join(few, "bucket", "left_semi").dropDuplicates(["t1", "t2"])
+        found = written(chosen.join(wanted, ["t1", "t2"]).select("node", "text").mapInArrow(whole, "node long, s array<long>"), label)
+        discard(wanted)
+        return found
 
     def compared(pairs: DataFrame, label: str, *more: Column) -> DataFrame:
         """``x, y, n, m, o``: sizes and overlap of every pair, counted; and further columns of the sets ``sx`` and ``sy``."""
@@ -165,7 +229,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         both = pairs.select("x", "y").join(own.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
         both = both.join(own.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
         overlap = F.size(F.array_intersect("sx", "sy")).cast("long").alias("o")
-        return written(both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), overlap, *more), f"{label}-pairs")
+        both = written(both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), overlap, *more), f"{label}-pairs")
+        discard(own)
+        return both
 
     # Leaders: of each list and size band the set with fewest shingles of its own in front; a set takes the leader that it
     # meets most often, in its own band or the one below.
@@ -184,8 +250,14 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     grouped = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     hubs = first.groupBy(F.col("y").alias("node")).count().join(grouped, "node").groupBy("root").agg(F.max_by("node", F.struct("count", "node")).alias("y"))
     grouped = written(grouped.join(hubs, "root").select(F.col("node").alias("x"), "y"), "groups")
+    discard(first, groups)
     difference = F.array_sort(F.concat(F.array_except("sx", "sy"), F.array_except("sy", "sx")))
     known = compared(grouped.where("x <> y"), "hub-sets", difference.alias("difference"))
+    # A hub keeps the sets within two link distances; the differences of others say little. Those are left to their lists.
+    close = F.size("difference") * (100 + percent) <= 2 * (F.col("n") + F.col("m")) * (100 - percent)
+    loose, known = known, written(known.where(close), "close-pairs")
+    discard(loose, grouped)
+    grouped = written(known.select("x", "y").unionByName(known.select(F.col("y").alias("x"), "y").distinct()), "close-groups")
 
     # How far the difference of two members may reach: x and y link if 2 * |dx & dy| * (100 + percent) >= -(spare_x + spare_y).
     members = known.select(F.col("y").alias("hub"), F.col("x").alias("node"), "n", "difference")
@@ -194,6 +266,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     best = members.groupBy("hub").agg(F.max(F.struct("spare", "node")).alias("best"))
     members = members.join(best, "hub").withColumn("central", F.col("spare") + F.col("best.spare") >= 0)
     members = written(members.select("hub", "node", "n", "difference", "spare", "central", F.col("best.node").alias("best")), "members")
+    discard(known)
     # Whatever links without common differences links to the member with most to spare, too.
     linked = members.where("central AND node <> best").select(F.col("node").alias("a"), F.col("best").alias("b"))
     own = members.select("hub", "node", "spare", "central", F.size("difference").alias("d"), F.posexplode("difference").alias("at", "shingle"))
@@ -222,12 +295,14 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         & (F.least("p.rest", "q.rest") * 2 * (100 + percent) >= -(F.col("p.spare") + F.col("q.spare")))
     )
     meet = told(meet.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct())
-    linked = written(linked.unionByName(meet), "group-links")
+    first_links, linked = linked, written(linked.unionByName(meet), "group-links")
     roots = components(linked)
+    discard(first_links, parts, members)
 
     # Lists that join different groups.
     apart = lists.dropDuplicates(["shingle", "node"]).join(roots, "node", "left").join(grouped.select(F.col("x").alias("node"), F.col("y").alias("hub")), "node", "left")
     apart = written(apart.withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")}), "apart")
+    discard(lists, roots, grouped)
     mixed_lists = apart.groupBy("shingle").agg(F.min("hub").alias("r"), F.max("hub").alias("q")).where("r <> q").select("shingle")
     rest = F.col("n") - F.col("at")
     # Blocks: size band, and a band of the remainder above the least that may matter.
@@ -252,14 +327,17 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         & _enough(F.least("rx", "ry"), F.col("n"), F.col("m"), percent)
     )
     candidates = written(candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    discard(open_lists)
     # Sets that link share many of their indexed shingles: count those.
     starts = apart.groupBy("node").agg(F.collect_set("shingle").alias("s"), F.first("n").alias("n"))
     starts = written(starts.join(candidates.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node"), "starts")
+    discard(apart)
     one = starts.select(F.col("node").alias("x"), F.col("s").alias("sx"), "n")
     two = starts.select(F.col("node").alias("y"), F.col("s").alias("sy"), F.col("n").alias("m"))
     near = candidates.join(one, "x").join(two, "y")
     near = near.where(_enough(F.size(F.array_intersect("sx", "sy")) + F.greatest(left_over(F.col("n")), left_over(F.col("m"))), F.col("n"), F.col("m"), percent))
     near = written(near.select("x", "y", "n", "m"), "near")
+    discard(candidates, starts)
 
     counted = compared(near, "near-sets")
     more = counted.where(_enough(F.col("o"), F.col("n"), F.col("m"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -269,5 +347,5 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("node", "component_id")
     out = sets.join(named, "node", "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), alone.alias("component_id"))

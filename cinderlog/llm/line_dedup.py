@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import discard, written
+
 #: A chunk ends where the rolling hash is divisible by this, so it has as many lines on average.
 DIVISOR, LEAST_LINES = 3, 2
 _PLACE = 1 << 31
+#: Occurrences from which those of a bucket of chunks are dealt to SALT parts, and the number of buckets.
+OFTEN, SALT, BUCKETS = 1000, 16, 1 << 16
 
 
 def line_hash(line: Column) -> Column:
@@ -47,39 +51,63 @@ def _text_of(chunk: Column, lines: Column) -> Column:
     return F.array_join(F.slice(lines, F.shiftright(chunk, 31).cast("int") + 1, chunk.bitwiseAND(_PLACE - 1).cast("int")), "\n")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("mark"), F.lit(BUCKETS)).alias("bucket")
+
+
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``, and ``n_lines`` and ``kept_lines``, which replace columns so named.
 
     The first occurrence by id (null first), then by row and place, stays. A null text stays null, with 0 lines; a text of which
-    everything is removed becomes empty, with 0 kept lines. Lines are separated by line ends; chunks of one line always stay.
+    everything is removed becomes empty, with 0 kept lines. Lines are separated by line ends; chunks of one line always stay. Repeated
+    rows are rows of their own: the second one loses what the first keeps. Other columns stay as they are, whatever their names; an empty
+    table gives an empty one. The rows are written once, with a number each, so that all later scans mean the same row by it.
     """
-    rows = docs.drop("n_lines", "kept_lines").withColumn("_row", F.monotonically_increasing_id())
-    cut = with_chunks(rows.select("_row", F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", divisor)
+    docs = docs.drop("n_lines", "kept_lines")
+    others = [c for c in docs.columns if c != text]
+    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    packed = F.struct(*[name(c) for c in others]) if others else F.lit(None).cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), name(key).alias("_key"), name(text).alias("_text"), packed.alias("_others"))
+    rows = written(rows, "line-rows")
+    cut = with_chunks(rows.select("_row", "_key", "_text"), "_text", divisor)
     whole = F.filter("_chunks", lambda c: c.bitwiseAND(_PLACE - 1) >= least)
     cut = cut.withColumn("_whole", F.explode(F.array(F.struct(whole.alias("chunks"), F.col("_lines").alias("lines")))))
     bodies = cut.select(F.explode(F.transform("_whole.chunks", lambda c: _text_of(c, F.col("_whole.lines")))).alias("body"))
     # Grouping by the text itself is the byte comparison; an md5 that two texts share would be set aside.
     groups = bodies.groupBy("body").count().select(F.md5(F.col("body").cast("binary")).alias("mark"), "count")
-    repeated = groups.groupBy("mark").agg(F.sum("count").alias("n"), F.count("*").alias("texts")).where("n > 1 AND texts = 1").select("mark")
+    repeated = groups.groupBy("mark").agg(F.sum("count").alias("n"), F.count("*").alias("texts")).where("n > 1 AND texts = 1").select("mark", "n")
+    repeated = written(repeated, "repeated-chunks")
+
+    # Chunks that occur very often are dealt to several tasks, by row. Whether a chunk may be one is looked up in at most BUCKETS numbers.
+    hot = F.broadcast(repeated.groupBy(_bucket()).agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN).select("bucket", F.lit(True).alias("hot")))
+
+    def dealt(df: DataFrame, number: Column) -> DataFrame:
+        return df.join(hot, df.bucket == hot.bucket, "left").drop("bucket").withColumn("salt", F.when(F.col("hot"), number).otherwise(F.lit(0))).drop("hot")
+
+    def to_all(df: DataFrame) -> DataFrame:
+        every = df.withColumn("bucket", _bucket()).join(hot, "bucket", "left").drop("bucket")
+        return every.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
 
     marks = F.transform("_whole.chunks", lambda c: F.struct(c.alias("chunk"), F.md5(_text_of(c, F.col("_whole.lines")).cast("binary")).alias("mark")))
     places = cut.select("_row", "_key", F.explode(marks).alias("m")).select("_row", "_key", "m.chunk", "m.mark")
-    places = places.join(repeated, "mark")
+    places = dealt(places.withColumn("bucket", _bucket()), F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int"))
+    places = written(places.join(to_all(repeated.select("mark")), ["mark", "salt"]), "repeated-places")
     first = places.groupBy("mark").agg(F.min(F.struct("_key", "_row", "chunk")).alias("first"))
-    later = places.join(first, "mark").where((F.col("_row") != F.col("first._row")) | (F.col("chunk") != F.col("first.chunk")))
-    gone = later.groupBy("_row").agg(F.collect_list("chunk").alias("_gone"))
+    later = places.join(to_all(first), ["mark", "salt"]).where((F.col("_row") != F.col("first._row")) | (F.col("chunk") != F.col("first.chunk")))
+    gone = written(later.groupBy("_row").agg(F.collect_list("chunk").alias("_gone")), "repeated-gone")
+    discard(places, repeated)
 
-    kept = with_chunks(rows.join(gone, "_row", "left"), text, divisor)
+    kept = with_chunks(rows.join(gone, "_row", "left"), "_text", divisor)
     left = F.array_except("_chunks", F.coalesce("_gone", F.array().cast("array<bigint>")))
     kept = kept.withColumn("_left", F.explode(F.array(F.struct(left.alias("chunks"), F.col("_lines").alias("lines")))))
     body = F.array_join(F.transform("_left.chunks", lambda c: _text_of(c, F.col("_left.lines"))), "\n")
     count = F.aggregate("_left.chunks", F.lit(0).cast("long"), lambda n, c: n + c.bitwiseAND(_PLACE - 1))
-    there = F.col(text).isNotNull()
-    kept = kept.withColumns({
-        "n_lines": F.when(there, F.size("_lines")).otherwise(0), "kept_lines": F.when(there, count).otherwise(0).cast("int"),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(body),
-    })
-    return kept.drop("_row", "_lines", "_chunks", "_gone", "_left")
+    there = F.col("_text").isNotNull()
+    made = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(body)
+    return kept.select(
+        *[made.alias(c) if c == text else F.col("_others")[c].alias(c) for c in docs.columns],
+        F.when(there, F.size("_lines")).otherwise(0).alias("n_lines"), F.when(there, count).otherwise(0).cast("int").alias("kept_lines"),
+    )
 
 
 #: The same over the table ``documents`` (ids are unique there).

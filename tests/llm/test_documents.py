@@ -141,6 +141,55 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def plain_sample(sizes, draws, rest):
+    """Pareto sampling of one source by hand: which documents are taken, and their probabilities."""
+    low, high = 0.0, 2.0
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(1.0, rate * s) * s for s in sizes.values()) < rest else (low, rate)
+    chance = {i: min(1.0, high * s) for i, s in sizes.items()}
+    sure = {i for i, p in chance.items() if p > 1 - 1e-9}
+    left = rest - sum(sizes[i] for i in sure)
+    rank = {i: draws[i] / (1 - draws[i]) * (1 - p) / p for i, p in chance.items() if i not in sure}
+    chosen, order = set(sure), sorted(rank, key=rank.get)
+    while order and sizes[order[0]] <= left:
+        left -= sizes[order[0]]
+        chosen.add(order.pop(0))
+    best = min(order, key=lambda i: (abs(left - sizes[i]), rank[i]), default=None)
+    if best is not None and abs(left - sizes[best]) < left:
+        chosen.add(best)
+    return chosen, chance
+
+
+def test_mixing_is_pareto_sampling(spark):
+    """The chosen documents are those of the plain version, and are chosen as often as their probabilities say."""
+    draw = random.Random(11)
+    kinds = [draw.choice((3, 10, 40, 90)) + draw.randrange(3) for _ in range(30)] + [400]
+    rows = [(1000 * s + i, " ".join(["w"] * n), None, f"s{s:03d}", 0) for s in range(120) for i, n in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    number = (F.shiftrightunsigned(F.xxhash64(F.lit(4), F.lit("mix"), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    draws = {r.doc_id: r.u for r in docs.select("doc_id", number.alias("u")).collect()}
+    got, often = defaultdict(set), Counter()
+    for r in mixing.mix(docs, seed=4).collect():
+        if r.taken > r.size * int(r.target / r.source_size + 1e-12):
+            got[r.source].add(r.doc_id)
+    whole = sum(kinds)
+    for s in range(120):
+        own = {1000 * s + i: n for i, n in enumerate(kinds)}
+        weight = 1 + s % 3
+        if weight == 2:
+            assert not got[f"s{s:03d}"]  # exactly one copy of each
+            continue
+        want, chance = plain_sample(own, draws, whole / 2)
+        assert got[f"s{s:03d}"] == want
+        often.update(i % 1000 for i in want)
+    assert often[30] == 80  # larger than its probability allows: taken for certain
+    for size in set(kinds):
+        same = [i for i, n in enumerate(kinds) if n == size and i < 30]
+        if len(same) > 1:
+            assert abs(sum(often[i] for i in same) / len(same) / 80 - chance[1000 * s + same[0]]) < 0.12
+
+
 def plain_lines(rows):
     """Chunks by hand: what every text keeps."""
     import hashlib
@@ -203,6 +252,52 @@ def test_pipeline_stage_by_stage(spark):
     assert all(pieces[i, 0] == n for i, n in times.items())
 
 
+def test_stages_leave_odd_rows_and_columns_alone(spark):
+    """Columns that are named like an operator's own, nulls, repeated rows, and an empty table."""
+    clean = "A plain line of words, as it is written.\nAnd another one that follows it here."
+    texts = [clean, clean, None, "", "other words that stand alone in a text of their own, ten or more", "only one line of it"]
+    names = ("row", "_row", "_size", "_copy", "score", "predicted", "n_lines", "kept_lines", "t1", "_text", "node", "_others")
+    rows = [(i if i else None, t, "en", "s" if i % 2 else None, 5, *[i * 10 + n for n in range(len(names))]) for i, t in enumerate(texts)]
+    rows.append(rows[4])
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {n} int" for n in names))
+    extra = {r[1]: set() for r in rows}
+    for r in rows:
+        extra[r[1]].add(r[5:])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[5:] in extra[r.text] for r in got if r.text in extra), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "ngram_jaccard_join":
+            assert sorted(str(r.doc_id) for r in got) == ["2", "3", "4", "5", "None"]
+
+
+def test_rows_keep_their_numbers_over_scans(spark):
+    """Another parallelism between the jobs of one run numbers the rows of a scan anew; results must not notice."""
+    import tempfile
+
+    draw = random.Random(8)
+    lines = [f"line number {i} of many" for i in range(40)]
+    rows = [(i, "\n".join(lines[(a := draw.randrange(30)) : a + 9] + [f"own {i}"])) for i in range(300)]
+    path = tempfile.mkdtemp() + "/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {r.doc_id: r.text for r in line_dedup.remove_repeated(docs).collect()}
+    assert want == plain_lines(rows)
+    from cinderlog.llm import ngram_join
+
+    near = {r.doc_id: r.component_id for r in ngram_join.link(docs).collect()}
+    try:
+        cut, joined = line_dedup.remove_repeated(docs), ngram_join.link(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        assert {r.doc_id: r.text for r in cut.collect()} == want
+        assert {r.doc_id: r.component_id for r in joined.collect()} == near
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @tables
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_queries(spark, name):

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns_of, slices, texts_of
+from .common import columns_of, discard, slices, texts_of, written
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, 3, 0.5
 #: More languages than this are refused (the model goes to every executor).
@@ -116,10 +116,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     sums = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()
+    sums = written(sums, "language-counts")
+    several = sums.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if several > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    rows = sums.toPandas()  # at most LANGUAGES times BUCKETS numbers
+    discard(sums)
     names = sorted(set(rows["lang"]))
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {LANGUAGES} are allowed")
     counts, documents = np.zeros((len(names), BUCKETS)), np.zeros(len(names))
     at = rows["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(np.int64)
     bucket, n = rows["bucket"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)

@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns_of, mixed, slices, texts_of
+from .common import columns_of, discard, mixed, slices, texts_of, written
 from .powers import powers
 
-#: Documents that the fit uses at most, the first by a hash of their id, and lines of a document that it may use.
-SAMPLE, SAMPLE_LINES = 3000, 400
+#: Documents that the fit uses at most, the first by a hash of their id, and lines of all of them within which the last one starts.
+SAMPLE, SAMPLE_LINES = 3000, 200_000
 _SMALL, _LARGE, _DIGIT, _BLANK, _STOP, _MARK, _SYMBOL, _BAR, _LETTER = range(9)
 FEATURES = ("one", "length", "large", "stops", "marks", "symbols", "bars", "digits", "repeats", "word", "all_large", "glued", "ends", "same")
 
@@ -200,8 +200,8 @@ def fit(x: np.ndarray, length: np.ndarray, lines: np.ndarray, good: np.ndarray,
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field:
     """Fit on at most ``sample`` labelled documents of ``docs``, the first by a hash of their id.
 
-    Labels other than 0 and 1 and ids with contradicting labels are left out, and so are documents of more than
-    ``SAMPLE_LINES`` lines. Without any document every text scores 0.5.
+    Of these, in the same order, as many whole documents as start within ``SAMPLE_LINES`` lines. Labels other than 0 and 1 and ids with
+    contradicting labels are left out. Without any document every text scores 0.5.
     """
     marks = (
         labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_good"), F.max(label).alias("_most"))
@@ -213,13 +213,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for part in parts:
             ids, texts, good = (part.column(i).to_pylist() for i in range(3))
             for i, t, g in zip(ids, texts, good):
-                if (t or "").count("\n") < SAMPLE_LINES:
-                    x, length, _ = line_features([t or ""])
-                    yield pa.RecordBatch.from_pydict({"key": [str(i)], "good": [int(g)], "x": [x.tobytes()], "length": [length.tobytes()]}, schema)
-
-    schema = pa.schema([("key", pa.string()), ("good", pa.int32()), ("x", pa.binary()), ("length", pa.binary())])
-    found = chosen.mapInArrow(features, "key string, good int, x binary, length binary")
-    rows = found.orderBy(F.xxhash64("key"), "key", F.xxhash64("x")).limit(sample).collect()
+                x, length, _ = line_features([t or ""])
+                row = {"key": [str(i)], "good": [int(g)], "lines": [len(length)], "x": [x.tobytes()], "length": [length.tobytes()]}
+                yield pa.RecordBatch.from_pydict(row, schema)
+
+    schema = pa.schema([("key", pa.string()), ("good", pa.int32()), ("lines", pa.int64()), ("x", pa.binary()), ("length", pa.binary())])
+    found = written(chosen.mapInArrow(features, "key string, good int, lines long, x binary, length binary"), "labelled-lines")
+    order = [F.xxhash64("key"), F.col("key"), F.xxhash64("x")]
+    # At most ``sample`` rows of a hash and a number.
+    sizes = found.select("key", F.xxhash64("x").alias("mark"), "lines").orderBy(F.xxhash64("key"), "key", "mark").limit(sample).collect()
+    begins = np.cumsum([0, *(r["lines"] for r in sizes)])[:-1]
+    rows = found.orderBy(*order).limit(int((begins < SAMPLE_LINES).sum())).collect() if sizes else []
+    discard(found)
     if not rows:
         return Field(np.zeros(3 * len(FEATURES)), np.zeros((2, 2)), np.zeros(2))
     lengths = [np.frombuffer(bytes(r.length)) for r in rows]

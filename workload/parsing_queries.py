@@ -17,7 +17,7 @@ from cinderlog.sources.files import (
 )
 
 from .catalog import access, duck_stamp, flag, joined, json_records, log_sql, query, r6, stamp, table
-from .demo_log import demo_events, demo_lines, written_once
+from .demo_log import demo_events, demo_lines, spread_events, written_once
 
 # -- sources and sinks ---------------------------------------------------------------------------------
 
@@ -561,6 +561,16 @@ _EXPORT_MESSAGE = """CASE line_id % 4 WHEN 0 THEN msg WHEN 1 THEN 'Said "' || ms
   WHEN 2 THEN 'Copy:' || {nl} || 'Error,2024-01-01 00:00:00,' || host || ',7,none,"' || msg ELSE '"' || msg || '"' || {nl} || '"' END"""
 
 
+_EVENTS_PER_FILE = 500_000
+#: Bytes of the least and the largest block, and the blocks of a folder between them.
+_LEAST_BLOCK, _LARGEST_BLOCK, _BLOCKS = 20_000, 64 << 20, 1024
+
+
+def export_block(total: int) -> int:
+    """Bytes of a block of a folder of ``total`` bytes."""
+    return min(max(_LEAST_BLOCK, total // _BLOCKS), _LARGEST_BLOCK)
+
+
 @query("parse_auto_exports", log_sql(f"""
 SELECT 'windows' AS format, {duck_stamp('seen')} AS seen, {_WIN_LEVEL} AS level, host AS source, line_id AS event_id, etype AS category,
   {_EXPORT_MESSAGE.format(nl='chr(10)')} AS message, NULL AS path, 0 AS parse_error
@@ -569,20 +579,22 @@ UNION ALL
 SELECT 'nginx', {duck_stamp('seen')}, NULL, NULL, NULL, NULL, NULL, path, CAST(parse_error AS BIGINT) FROM access
 WHERE line_id IN (SELECT line_id FROM demo WHERE uid % 3 <> 0)"""))
 def _(spark, sf):
-    e = demo_events(spark, sf)
+    e = spread_events(spark, sf, _EVENTS_PER_FILE)
     path = scratch_dir(spark, "exports")
     word = "CASE etype WHEN 'error' THEN 'Error' WHEN 'view' THEN 'Warning' WHEN 'click' THEN 'Audit Failure' ELSE 'Information' END"
     e.where("uid % 3 = 0").selectExpr(
         f"{word} AS `Level`", "date_format(seen, 'yyyy-MM-dd HH:mm:ss') AS `Date and Time`", "host AS `Source`",
         "line_id AS `Event ID`", "etype AS `Task Category`", f"{_EXPORT_MESSAGE.format(nl='char(10)')} AS `Description`",
-    ).repartition(3, "Event ID").write.csv(f"{path}/windows", header=True, quoteAll=True, escape='"')
+    ).repartition(max(3, demo_events(spark, sf).count() // _EVENTS_PER_FILE), "Event ID").write.csv(f"{path}/windows", header=True, quoteAll=True, escape='"')
     e.where("uid % 3 <> 0").select("raw_access").write.text(f"{path}/web")
     folders = [f"{path}/windows", f"{path}/web"]
-    heads = read_heads(list_files(spark, folders))
+    files = list_files(spark, folders)
+    heads = read_heads(files)
     winners = through_table(detect(heads, year=2024), "winners")
-    # Small blocks, so that a file is read by several tasks and records cross their borders.
+    # Small blocks, so that a file is read by several tasks and records cross their borders; they grow with the folder, as a block is
+    # a task.
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(export_block(files.agg(F.sum("bytes")).first()[0] or 0)))
     try:
         lines = through_table(read_log_lines(spark, folders, blanks=True), "lines")
     finally:

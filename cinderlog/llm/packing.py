@@ -10,9 +10,8 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,16 +24,29 @@ from .words import gather, read_words
 LENGTH, END = 2048, 0
 #: Pieces of a partition, and rounds of exchange.
 PART, ROUNDS = 4096, 4
-#: Words that a worker remembers in each of two generations, and bytes of the longest remembered one.
-_WORDS, _LONGEST = 1 << 18, 64
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[^a-z0-9\x80-\xff]+")
+#: Runs that a worker remembers in each of two generations, and bytes of the longest remembered one.
+_RUNS, _LONGEST = 1 << 17, 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of plain words, the second byte of a Latin letter apart; and classes: 0 letters, 1 digits, 2 what is between them."""
+    plain, kind = np.zeros(256, bool), np.full(256, 2, np.uint8)
+    # ASCII without the apostrophe, which starts endings, and the bracket, which starts added tokens.
+    plain[0x21:0x7F] = True
+    plain[[ord("'"), ord("<")]] = False
+    kind[ord("a") : ord("z") + 1] = kind[0x80:] = 0
+    kind[ord("0") : ord("9") + 1] = 1
+    return plain, kind
+
+
+_PLAIN, _KIND = _byte_classes()
+
+
 class Encoder:
     """Token ids of whole texts. The tokenizer never merges across white space, so a text's ids are those of its words in turn,
-    and every different word of a slice is looked up once. A new word of ASCII and Latin letters is put together from its runs of letters, its digits
-    and what is between them, which the tokenizer keeps apart as well; new runs of letters go to the library many at a time."""
+    and every different word of a slice is looked up once. A word of ASCII and Latin letters is put together from its runs of letters, its digits
+    and what is between them, which the tokenizer keeps apart as well; new runs go to the library many at a time."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,59 +59,78 @@ class Encoder:
         for token, i in kept["model"]["vocab"].items():
             last[i] = bool(ending) and token.endswith(ending)
         self.last = np.array(last)
-        # ASCII without the apostrophe, which starts endings, and the bracket, which starts added tokens; Latin letters in two bytes.
-        self.plain = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z" if ending else rb"(?!)")
-        self.new, self.old = {}, {}
+        self.marked = bool(ending)
         self.new_runs, self.old_runs = {}, {}
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after each other, and how many each has."""
         words = read_words(texts)
-        held = self._known(words.known.to_pylist())
-        size = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        flat, size = self._known(words.known)
         own = size[words.number]
-        values = gather(np.frombuffer(b"".join(held), "<u4"), (np.cumsum(size) - size)[words.number], own)
+        values = gather(flat, (np.cumsum(size) - size)[words.number], own)
         ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(words.sizes)]
         return values, np.diff(ends, prepend=0)
 
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        """Ids of different words, as bytes."""
-        new, old = self.new.get, self.old.get
-        found = [new(w) for w in words]
-        absent = [i for i, f in enumerate(found) if f is None]
-        for i in absent:
-            found[i] = old(words[i])
-        missing = [i for i in absent if found[i] is None]
-        plain = [i for i in missing if self.plain.match(words[i])]
-        split = [_RUN.findall(w.lower() if w.isascii() else w.decode().lower().encode()) for w in [words[i] for i in plain]]
-        runs = self._runs(dict.fromkeys(r for parts in split for r in parts))
-        for i, parts in zip(plain, split):
-            found[i] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[r] for r in parts])
-        others = [i for i in missing if found[i] is None]
-        for i, ids in zip(others, self._encoded([words[i].decode() for i in others])):
-            found[i] = np.array(ids, "<u4").tobytes()
-        if len(self.new) + len(absent) > _WORDS:
-            self.old, self.new = self.new, {}
-        self.new.update([(words[i], found[i]) for i in absent if len(words[i]) <= _LONGEST])
-        return found
-
-    def _runs(self, runs: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs that are one word each to the tokenizer, as bytes."""
+    def _known(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words after each other, and how many each has."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        begin = offsets[:-1] - offsets[0]
+        # Latin letters are 0xc3 and a second byte, but for two signs; this byte's lower case is 32 above, as that of ASCII letters.
+        second = np.concatenate([[False], data[:-1] == 0xC3])
+        latin = second & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+        fits = _PLAIN[data] | latin | (data == 0xC3)
+        plain = np.logical_and.reduceat(fits, begin) & self.marked
+        large = ((data >= 65) & (data <= 90)) | (latin & (data < 0x9F))
+        lower = data + (large.view(np.uint8) << 5)
+        inside = np.repeat(plain, np.diff(offsets))
+        # A run starts with its word, where the class changes, and at every digit.
+        kind = _KIND[lower]
+        edge = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 1)])
+        edge[begin] = True
+        held, first = lower[inside], np.flatnonzero(edge[inside])
+        runs = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(held))), pa.py_buffer(held)]
+        ).dictionary_encode()
+        found = self._runs(runs.dictionary.to_pylist())
+        number = runs.indices.to_numpy().astype(np.int64)
+        length = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        parts = gather(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(length) - length)[number], length[number])
+        # Ids of a plain word: those of its runs.
+        ends = np.concatenate([[0], np.cumsum(length[number])])[np.cumsum(np.add.reduceat(edge, begin, dtype=np.int64) * plain)]
+        size = np.diff(ends, prepend=0)
+        others = np.flatnonzero(~plain)
+        if not len(others):
+            return parts, size
+        rest = [np.array(ids, "<u4") for ids in self._encoded([w.decode() for w in words.take(pa.array(others)).to_pylist()])]
+        size[others] = [len(r) for r in rest]
+        flat = np.empty(size.sum(), "<u4")
+        own = np.repeat(plain, size)
+        flat[own], flat[~own] = parts, np.concatenate(rest)
+        return flat, size
+
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of different runs that are one word each to the tokenizer, as bytes."""
         new, old = self.new_runs.get, self.old_runs.get
-        out = {r: new(r) for r in runs}
-        absent = [r for r, f in out.items() if f is None]
-        out.update((r, old(r)) for r in absent)
-        missing = [r for r in absent if out[r] is None]
+        out = list(map(new, runs))
+        absent = [i for i, f in enumerate(out) if f is None]
+        for i in absent:
+            out[i] = old(runs[i])
+        missing = [i for i in absent if out[i] is None]
         for a in range(0, len(missing), 512):
             part = missing[a : a + 512]
-            ids = np.array(self._encoded([b" ".join(part).decode()])[0], "<u4")
+            ids = np.array(self._encoded([b" ".join([runs[i] for i in part]).decode()])[0], "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer does not end every word with a mark of its own")
-            out.update(zip(part, [ids[i:j].tobytes() for i, j in zip([0, *ends.tolist()], ends.tolist())]))
-        if len(self.new_runs) + len(absent) > _WORDS:
+            held, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for i, x, y in zip(part, at, at[1:]):
+                out[i] = held[x:y]
+        if len(self.new_runs) + len(absent) > _RUNS:
             self.old_runs, self.new_runs = self.new_runs, {}
-        self.new_runs.update([(r, out[r]) for r in absent if len(r) <= _LONGEST])
+        self.new_runs.update([(runs[i], out[i]) for i in absent if len(runs[i]) <= _LONGEST])
         return out
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
@@ -124,7 +155,7 @@ def pieces(docs: DataFrame, spec: str, length: int = LENGTH, end: int = END, key
         machine = encoder(shared.value)
         for part in parts:
             rows, docs_of, texts = [], part.column(0).to_pylist(), texts_of(part.column(1))
-            for a, b in slices(texts, 4 * SLICE):
+            for a, b in slices(texts, 2 * SLICE):
                 values, counts = machine.ids(texts[a:b])
                 ends = np.cumsum(counts).tolist()
                 for doc, first, last in zip(docs_of[a:b], [0, *ends], ends):

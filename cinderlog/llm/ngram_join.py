@@ -31,6 +31,8 @@ FREQUENT = 1 << 18
 #: Buckets of the filter that goes before a join with texts.
 FILTER = 1 << 18
 _HELD = 2_000_000
+#: Rows of a batch whose texts and sets a task holds at once.
+ROWS = 512
 _CLASHES = 1000
 _LIGHT = 1 << 61  # added to frequent shingles, whose hashes have 61 bits then
 
@@ -48,6 +50,13 @@ def fingerprint(s: np.ndarray) -> tuple[int, int, int, int]:
     return tuple(int(np.int64(np.uint64(x).astype(np.int64))) for x in (a, b, *mixed(made)))
 
 
+def _pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of ``ROWS``, so that what is made of their texts stays small."""
+    for part in parts:
+        for i in range(0, part.num_rows, ROWS):
+            yield part.slice(i, ROWS)
+
+
 _ROW = ("doc_id", "t1", "t2", "n", "a", "b", "node", "other")
 
 
@@ -64,7 +73,7 @@ def _summaries(words: int):
             flag = pa.array(np.zeros(len(value), bool))
             return pa.RecordBatch.from_arrays([flag, *[none] * len(_ROW), pa.array(value), pa.array(count)], names=names)
 
-        for part in parts:
+        for part in _pieces(parts):
             rows = []
             ids = [part.column(i).to_pylist() for i in range(3)]
             for own, s in zip(zip(*ids), shingle_sets(texts_of(part.column(3)), words)):
@@ -145,6 +154,19 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n + m) * percent
 
 
+def _centred(members: DataFrame) -> DataFrame:
+    """Differences from the middle of each group: what most of its members have more or less than the hub is part of no difference then.
+
+    A hub is a changed copy like the others. Its own changes are in the difference of everyone else, where they look rare. Which set the
+    members are held against does not matter to what their differences tell.
+    """
+    sizes = members.groupBy("hub").agg(F.count("*").alias("members"))
+    often = members.select("hub", F.explode("difference").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("c"))
+    often = often.join(sizes, "hub").where(F.col("c") * 2 > F.col("members")).groupBy("hub").agg(F.collect_list("shingle").alias("common"))
+    moved = F.array_sort(F.concat(F.array_except("difference", "common"), F.array_except("common", "difference")))
+    return members.join(often, "hub", "left").withColumn("difference", F.when(F.col("common").isNull(), F.col("difference")).otherwise(moved)).drop("common")
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, t1, t2, n_shingles, component_id`` for every row of ``docs``, which should be a table (it is read more than once).
 
@@ -179,7 +201,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first shingles of every set: shingle, set, and its size and the place in one number."""
         seen = set()
-        for part in parts:
+        for part in _pieces(parts):
             held = []
             for s in shingle_sets(texts_of(part.column(0)), words):
                 if not len(s):
@@ -205,34 +227,54 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     lists = index.mapInArrow(_repeated, entry).select("shingle", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("at"))
     lists = written(lists.withColumn("band", band(F.col("n")).cast("int")), "lists")
 
-    def sets_of(pairs: DataFrame, label: str) -> DataFrame:
-        """Whole sets of all sets in the pairs, from one text of each class."""
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("t1", "t2", "node")
+    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
+        """The columns of ``wanted``, numbers among which is ``node``, and the whole set ``s``, from one text of each class."""
+        names = wanted.columns
+        wanted = written(wanted.join(classes.select("node", "t1", "t2"), "node"), f"{label}-texts")
 
         def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                found = [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(1)), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+            for part in _pieces(parts):
+                found = [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(len(names))), words)]
+                own = [part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], names=[*names, "s"])
 
         # At most FILTER numbers go to every task, to leave most other texts where they are. Of equal texts each task sends one.
         bucket = F.pmod("t1", F.lit(FILTER)).alias("bucket")
-        wanted = written(wanted, f"{label}-texts")
         few = F.broadcast(wanted.select(bucket).distinct())
         chosen = rows.select("t1", "t2", "text", bucket).join(few, "bucket", "left_semi").dropDuplicates(["t1", "t2"])
-        found = written(chosen.join(wanted, ["t1", "t2"]).select("node", "text").mapInArrow(whole, "node long, s array<long>"), label)
+        schema = ", ".join(f"{c} long" for c in names) + ", s array<long>"
+        found = written(chosen.join(wanted, ["t1", "t2"]).select(*names, "text").mapInArrow(whole, schema), label)
         discard(wanted)
         return found
 
-    def compared(pairs: DataFrame, label: str, *more: Column) -> DataFrame:
-        """``x, y, n, m, o``: sizes and overlap of every pair, counted; and further columns of the sets ``sx`` and ``sy``."""
-        own = sets_of(pairs, label)
+    def compared(pairs: DataFrame, label: str) -> DataFrame:
+        """``x, y, n, m, o``: sizes and overlap of every pair, counted."""
+        own = sets_of(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), label)
         both = pairs.select("x", "y").join(own.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
         both = both.join(own.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
         overlap = F.size(F.array_intersect("sx", "sy")).cast("long").alias("o")
-        both = written(both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), overlap, *more), f"{label}-pairs")
+        both = written(both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), overlap), f"{label}-pairs")
         discard(own)
         return both
 
+    def close_to(hubs: DataFrame, label: str) -> DataFrame:
+        """``x, y, n, m, difference`` of sets ``x`` and their hubs ``y`` that are within two link distances; the differences of others say little.
+
+        Sizes that differ by more rule out most others before their sets are made. A set is sent once, to its hub.
+        """
+        near = lambda d: d * (100 + percent) <= 2 * (F.col("n") + F.col("m")) * (100 - percent)
+        sized = hubs.join(classes.select(F.col("node").alias("x"), "n"), "x").join(classes.select(F.col("node").alias("y"), F.col("n").alias("m")), "y")
+        pairs = sized.where((F.col("x") != F.col("y")) & near(F.abs(F.col("n") - F.col("m")))).select(F.col("x").alias("node"), F.col("y").alias("hub"))
+        pairs = written(pairs, f"{label}-sized")
+        own = sets_of(pairs.unionByName(pairs.select(F.col("hub").alias("node"), "hub").distinct()), label)
+        both = own.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y"), F.col("s").alias("sx"))
+        both = both.join(own.where("node = hub").select(F.col("hub").alias("y"), F.col("s").alias("sy")), "y")
+        difference = F.array_sort(F.concat(F.array_except("sx", "sy"), F.array_except("sy", "sx")))
+        both = both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), difference.alias("difference"))
+        both = written(both.where(near(F.size("difference"))), "close-pairs")
+        discard(pairs, own)
+        return both
+
     # Leaders: of each list and size band the set with fewest shingles of its own in front; a set takes the leader that it
     # meets most often, in its own band or the one below.
     front = lists.groupBy("node").agg(F.min("at").alias("front"))
@@ -251,17 +293,15 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     hubs = first.groupBy(F.col("y").alias("node")).count().join(grouped, "node").groupBy("root").agg(F.max_by("node", F.struct("count", "node")).alias("y"))
     grouped = written(grouped.join(hubs, "root").select(F.col("node").alias("x"), "y"), "groups")
     discard(first, groups)
-    difference = F.array_sort(F.concat(F.array_except("sx", "sy"), F.array_except("sy", "sx")))
-    known = compared(grouped.where("x <> y"), "hub-sets", difference.alias("difference"))
-    # A hub keeps the sets within two link distances; the differences of others say little. Those are left to their lists.
-    close = F.size("difference") * (100 + percent) <= 2 * (F.col("n") + F.col("m")) * (100 - percent)
-    loose, known = known, written(known.where(close), "close-pairs")
-    discard(loose, grouped)
+    # A hub keeps the sets close to it. Others are left to their lists.
+    known = close_to(grouped, "hub-sets")
+    discard(grouped)
     grouped = written(known.select("x", "y").unionByName(known.select(F.col("y").alias("x"), "y").distinct()), "close-groups")
 
     # How far the difference of two members may reach: x and y link if 2 * |dx & dy| * (100 + percent) >= -(spare_x + spare_y).
     members = known.select(F.col("y").alias("hub"), F.col("x").alias("node"), "n", "difference")
     members = members.unionByName(known.select(F.col("y").alias("hub"), F.col("y").alias("node"), F.col("m").alias("n"), F.array().cast("array<bigint>").alias("difference")).dropDuplicates(["hub"]))
+    members = _centred(members)
     members = members.withColumn("spare", F.col("n") * (100 - percent) - F.size("difference") * (100 + percent))
     best = members.groupBy("hub").agg(F.max(F.struct("spare", "node")).alias("best"))
     members = members.join(best, "hub").withColumn("central", F.col("spare") + F.col("best.spare") >= 0)

@@ -70,6 +70,45 @@ def test_jaccard_join_is_exact(spark, words, percent, seed):
     assert got == want
 
 
+def test_differences_from_the_middle_of_a_group(spark):
+    # The hub of group 1 has changes of its own (90 to 93), which are in the difference of all others. Group 2 has no middle.
+    rows = [(1, 1, 50, []), *[(1, i, 50, [i * 10, 90, 91, 92, 93]) for i in range(2, 7)], (2, 7, 9, []), (2, 8, 9, [4])]
+    members = spark.createDataFrame(rows, "hub long, node long, n long, difference array<long>")
+    got = {r.node: (r.hub, r.n, r.difference) for r in ngram_join._centred(members).collect()}
+    assert got == {1: (1, 50, [90, 91, 92, 93]), **{i: (1, 50, [i * 10]) for i in range(2, 7)}, 7: (2, 9, []), 8: (2, 9, [4])}
+    before = {r[1]: set(r[3]) for r in rows if r[0] == 1}
+    assert all(before[i] ^ before[j] == set(got[i][2]) ^ set(got[j][2]) for i in before for j in before)
+
+
+def test_sets_are_sent_once_and_only_close_ones_kept(spark, monkeypatch):
+    """Texts that share a frequent passage are one group, but far from its hub: their differences are not written."""
+    shared = " ".join(f"p{i}" for i in range(20))
+    texts = [f"{shared} " + " ".join(f"t{k}w{i}" for i in range(60 if k < 8 else 600)) for k in range(10)]
+    texts += [f"{texts[k]} more" for k in range(10)]
+    columns, held = {}, {}
+
+    def seen(df, label, keep=ngram_join.written):
+        out = keep(df, label)
+        columns[label], held[label] = out.columns, out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).cache()
+    got = {r.doc_id: r.component_id for r in ngram_join.link(docs, 4, 85).collect()}
+    assert got == {i: i % 10 for i in range(20)}
+    assert "hub-sets-pairs" not in held and columns["hub-sets"] == ["node", "hub", "s"]
+    assert held["close-pairs"] < held["hub-sets"]
+
+
+def test_batches_are_cut_into_pieces():
+    import pyarrow as pa
+
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["a"]) for n in (0, 3, 2 * ngram_join.ROWS + 1)]
+    found = list(ngram_join._pieces(iter(parts)))
+    assert max(p.num_rows for p in found) == ngram_join.ROWS
+    assert [x for p in found for x in p.column(0).to_pylist()] == [x for p in parts for x in p.column(0).to_pylist()]
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert ngram_join.link(spark.createDataFrame([], "doc_id long, text string, row int")).count() == 0
     rows = [(None, "a b c d e f", 1), (5, "a b c d e f", 1), (5, "a b c d e f", 1), (7, None, 2), (None, "", 3)]

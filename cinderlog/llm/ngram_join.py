@@ -33,6 +33,8 @@ FILTER = 1 << 18
 _HELD = 2_000_000
 #: Rows of a batch whose texts and sets a task holds at once.
 ROWS = 512
+#: Sets that a task compares with their hub one after the other.
+MEMBERS = 500
 _CLASHES = 1000
 _LIGHT = 1 << 61  # added to frequent shingles, whose hashes have 61 bits then
 
@@ -185,7 +187,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     summary = written(rows.mapInArrow(run, schema), "summaries")
     sets = summary.where("is_row")
     classes = sets.where("node IS NOT NULL").groupBy("a", "b", "n").agg(
-        F.min("node").alias("node"), F.min("other").alias("other"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("first")
+        F.min("node").alias("node"), F.min("other").alias("other"), F.min(F.struct("t1", "t2", "doc_id")).alias("t"), F.min("doc_id").alias("first")
     )
     classes = written(classes, "classes")
     # Different sets with one number (two among some billions): these sets take their other number.
@@ -195,7 +197,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     if clashes:
         number = F.when(F.col("node").isin(*clashes), F.col("other")).otherwise(F.col("node"))
         classes, sets = classes.withColumn("node", number), sets.withColumn("node", number)
-    classes = classes.select("node", "n", "first", "t.t1", "t.t2")
+    classes = classes.select("node", "n", "first", "t.t1", "t.t2", F.col("t.doc_id").alias("held"))
     frequent = spark.sparkContext.broadcast(_frequent(summary))
 
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,29 +229,28 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     lists = index.mapInArrow(_repeated, entry).select("shingle", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("at"))
     lists = written(lists.withColumn("band", band(F.col("n")).cast("int")), "lists")
 
-    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
-        """The columns of ``wanted``, numbers among which is ``node``, and the whole set ``s``, from one text of each class."""
+    def with_texts(wanted: DataFrame, label: str) -> DataFrame:
+        """The columns of ``wanted``, numbers among which is ``node``, and ``text``, one text of each class."""
         names = wanted.columns
-        wanted = written(wanted.join(classes.select("node", "t1", "t2"), "node"), f"{label}-texts")
+        # At most FILTER numbers go to every task, to leave most other texts, and most copies of these, where they are.
+        bucket = lambda key: F.pmod(F.xxhash64(key, "t1"), F.lit(FILTER)).alias("bucket")
+        wanted = written(wanted.join(classes.select("node", "t1", "t2", "held"), "node"), label)
+        few = F.broadcast(wanted.select(bucket("held")).distinct())
+        chosen = rows.select("t1", "t2", "text", bucket("doc_id")).join(few, "bucket", "left_semi").dropDuplicates(["t1", "t2"])
+        return chosen.join(wanted, ["t1", "t2"]).select(*names, "text")
 
-        def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _pieces(parts):
-                found = [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(len(names))), words)]
-                own = [part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], names=[*names, "s"])
-
-        # At most FILTER numbers go to every task, to leave most other texts where they are. Of equal texts each task sends one.
-        bucket = F.pmod("t1", F.lit(FILTER)).alias("bucket")
-        few = F.broadcast(wanted.select(bucket).distinct())
-        chosen = rows.select("t1", "t2", "text", bucket).join(few, "bucket", "left_semi").dropDuplicates(["t1", "t2"])
-        schema = ", ".join(f"{c} long" for c in names) + ", s array<long>"
-        found = written(chosen.join(wanted, ["t1", "t2"]).select(*names, "text").mapInArrow(whole, schema), label)
-        discard(wanted)
-        return found
+    def sets_of_texts(part: pa.RecordBatch, at: int) -> list[np.ndarray]:
+        return [_ordered(s, frequent.value).astype(np.int64) for s in shingle_sets(texts_of(part.column(at)), words)]
 
     def compared(pairs: DataFrame, label: str) -> DataFrame:
         """``x, y, n, m, o``: sizes and overlap of every pair, counted."""
-        own = sets_of(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), label)
+
+        def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _pieces(parts):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets_of_texts(part, 1), pa.list_(pa.int64()))], names=["node", "s"])
+
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        own = written(with_texts(wanted, f"{label}-texts").mapInArrow(whole, "node long, s array<long>"), label)
         both = pairs.select("x", "y").join(own.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
         both = both.join(own.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
         overlap = F.size(F.array_intersect("sx", "sy")).cast("long").alias("o")
@@ -257,21 +258,36 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         discard(own)
         return both
 
-    def close_to(hubs: DataFrame, label: str) -> DataFrame:
+    def apart_from_hub(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``node, hub, s``: what a set has more and less than its hub, null if that is too much; a hub's text comes before those of its sets."""
+        held = None
+        for part in _pieces(parts):
+            found = []
+            for node, hub, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets_of_texts(part, 2)):
+                if node == hub:
+                    held = s
+                else:
+                    difference = np.setxor1d(s, held, assume_unique=True)
+                    found.append((node, hub, difference if len(difference) * (100 + percent) <= 2 * (len(s) + len(held)) * (100 - percent) else None))
+            columns = [*zip(*found)] if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["node", "hub", "s"])
+
+    def close_to(hubs: DataFrame) -> DataFrame:
         """``x, y, n, m, difference`` of sets ``x`` and their hubs ``y`` that are within two link distances; the differences of others say little.
 
-        Sizes that differ by more rule out most others before their sets are made. A set is sent once, to its hub.
+        Sizes that differ by more rule out most others before their sets are made. A text is sent once, a hub's once for each MEMBERS sets.
         """
         near = lambda d: d * (100 + percent) <= 2 * (F.col("n") + F.col("m")) * (100 - percent)
         sized = hubs.join(classes.select(F.col("node").alias("x"), "n"), "x").join(classes.select(F.col("node").alias("y"), F.col("n").alias("m")), "y")
-        pairs = sized.where((F.col("x") != F.col("y")) & near(F.abs(F.col("n") - F.col("m")))).select(F.col("x").alias("node"), F.col("y").alias("hub"))
-        pairs = written(pairs, f"{label}-sized")
-        own = sets_of(pairs.unionByName(pairs.select(F.col("hub").alias("node"), "hub").distinct()), label)
-        both = own.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y"), F.col("s").alias("sx"))
-        both = both.join(own.where("node = hub").select(F.col("hub").alias("y"), F.col("s").alias("sy")), "y")
-        difference = F.array_sort(F.concat(F.array_except("sx", "sy"), F.array_except("sy", "sx")))
-        both = both.select("x", "y", F.size("sx").cast("long").alias("n"), F.size("sy").cast("long").alias("m"), difference.alias("difference"))
-        both = written(both.where(near(F.size("difference"))), "close-pairs")
+        pairs = sized.where((F.col("x") != F.col("y")) & near(F.abs(F.col("n") - F.col("m")))).select(F.col("x").alias("node"), F.col("y").alias("hub"), "n", "m")
+        pairs = written(pairs, "hub-sets-sized")
+        shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("shares"))
+        members = pairs.join(shares, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"))
+        middle = shares.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        sent = with_texts(members.unionByName(middle), "hub-texts").repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("node") != F.col("hub"))
+        own = written(sent.select("node", "hub", "text").mapInArrow(apart_from_hub, "node long, hub long, s array<long>"), "hub-sets")
+        both = own.where("s IS NOT NULL").join(pairs, ["node", "hub"]).select(F.col("node").alias("x"), F.col("hub").alias("y"), "n", "m", F.col("s").alias("difference"))
+        both = written(both, "close-pairs")
         discard(pairs, own)
         return both
 
@@ -294,7 +310,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     grouped = written(grouped.join(hubs, "root").select(F.col("node").alias("x"), "y"), "groups")
     discard(first, groups)
     # A hub keeps the sets close to it. Others are left to their lists.
-    known = close_to(grouped, "hub-sets")
+    known = close_to(grouped)
     discard(grouped)
     grouped = written(known.select("x", "y").unionByName(known.select(F.col("y").alias("x"), "y").distinct()), "close-groups")
 

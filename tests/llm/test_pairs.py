@@ -100,6 +100,30 @@ def test_sets_are_sent_once_and_only_close_ones_kept(spark, monkeypatch):
     assert held["close-pairs"] < held["hub-sets"]
 
 
+def test_only_differences_from_hubs_are_written(spark, monkeypatch):
+    """A set is held against its hub where their texts meet; large groups are dealt over several tasks, each with the hub's text."""
+    draw = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(40):
+        own = list(base)
+        own[draw.randrange(300)] = f"x{k}"
+        texts += [" ".join(own)] * (1 + k % 2)
+    held = {}
+
+    def seen(df, label, keep=ngram_join.written):
+        out = keep(df, label)
+        if label == "hub-sets":
+            held["rows"], held["shingles"] = out.agg(F.count("*"), F.sum(F.size("s"))).first()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    assert {r.component_id for r in ngram_join.link(docs, 4, 85).collect()} == {0}
+    assert held["rows"] == 39 and held["shingles"] <= 39 * 16
+
+
 def test_batches_are_cut_into_pieces():
     import pyarrow as pa
 

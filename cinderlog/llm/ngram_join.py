@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, mixed, texts_of, written
+from .common import discard, lean, mixed, texts_of, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -65,6 +65,7 @@ _ROW = ("doc_id", "t1", "t2", "n", "a", "b", "node", "other")
 def _summaries(words: int):
     """A row for each text, and rows of shingles that a task saw in several different sets."""
 
+    @lean
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
@@ -200,6 +201,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     classes = classes.select("node", "n", "first", "t.t1", "t.t2", F.col("t.doc_id").alias("held"))
     frequent = spark.sparkContext.broadcast(_frequent(summary))
 
+    @lean
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first shingles of every set: shingle, set, and its size and the place in one number."""
         seen = set()

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE, slices, texts_of, written
+from .common import SLICE, give_back, lean, slices, texts_of, written
 from .words import gather, read_words
 
 LENGTH, END = 2048, 0
@@ -151,7 +151,9 @@ def pieces(docs: DataFrame, spec: str, length: int = LENGTH, end: int = END, key
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     tail = np.array([end], "<u4").tobytes()
 
+    @lean
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the worker kept from an earlier query
         machine = encoder(shared.value)
         for part in parts:
             rows, docs_of, texts = [], part.column(0).to_pylist(), texts_of(part.column(1))

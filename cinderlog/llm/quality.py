@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns_of, discard, mixed, slices, texts_of, written
+from .common import columns_of, discard, lean, mixed, slices, texts_of, written
 from .powers import powers
 
 #: Documents that the fit uses at most, the first by a hash of their id, and lines of all of them within which the last one starts.
@@ -239,6 +239,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", threshold: float =
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(field))
 
+    @lean
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
         for part in parts:

@@ -220,3 +220,98 @@ def test_links_of_blocks():
     both = near.copy()
     both[:300, :300] = both[300:, 300:] = False
     assert label.tolist() == grouped(800, zip(*np.nonzero(both)), list(range(800)))
+
+
+def near_and_scattered(rng, n, d):
+    """Half of the vectors scattered, half in groups of near copies of various widths."""
+    base = rng.normal(size=(n // 10, d))
+    near = base[rng.integers(0, len(base), n // 2)] + rng.normal(size=(n // 2, d)) * rng.choice([0.05, 0.3, 0.34], size=(n // 2, 1))
+    return np.concatenate([near, rng.normal(size=(n - n // 2, d))])
+
+
+def test_metric_join_deals_vectors_a_bounded_number_of_times(spark, monkeypatch):
+    """Whole vectors went to every cell that they could matter to, all cells if vectors are scattered, and a batch of them at once."""
+    from cinderlog.llm import vector_join
+
+    held, written = {}, vector_join.written
+
+    def seen(df, label):
+        back = written(df, label)
+        held[label] = back.count()
+        return back
+
+    monkeypatch.setattr(vector_join, "written", seen)
+    monkeypatch.setattr(vector_join, "CELL", 25)
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    got = links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert len(got) == 1500 and all(r.kept and r.n_links == 0 for r in got)
+    assert max(held.values()) <= 1500
+
+
+def test_metric_join_of_many_groups_is_exact(spark, monkeypatch):
+    from cinderlog.llm import vector_join
+
+    monkeypatch.setattr(vector_join, "CELL", 20)
+    monkeypatch.setattr(vector_join, "STRETCH", 32)
+    monkeypatch.setattr(vector_join, "SHORT", 8)
+    monkeypatch.setattr(vector_join, "STRIP", 8)
+    monkeypatch.setattr(vector_join, "SPARSE", 20)
+    monkeypatch.setattr(vector_join, "GATHERED", 4000)
+    monkeypatch.setattr(vector_join, "COMPONENTS", 600)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(near_and_scattered(rng, 500, 12))]
+    rows += [(1000 + i, v.astype(np.float32).tolist()) for i, v in enumerate(near_and_scattered(rng, 60, 3))]
+    rows += [(2000, rows[3][1]), (2001, rows[3][1]), (None, rows[3][1]), (7, rows[8][1])]
+    rows += [(2002, [0.0, 1.0, 2.0]), (2003, [-0.0, 1.0, 2.0]), (None, [9.0, 9.0, -5.0, 1.0]), (2004, None)]
+    got = links(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()
+    pairs = []
+    for d in {len(v) for _, v in rows if v}:
+        at = [k for k, (_, v) in enumerate(rows) if v and len(v) == d]
+        x = unit(np.array([rows[k][1] for k in at], float))
+        pairs += [(at[i], at[j]) for i, j in zip(*np.nonzero(x @ x.T >= 0.9)) if i != j]
+    least = {}
+    for k, root in enumerate(grouped(len(rows), pairs, range(len(rows)))):
+        least.setdefault(root, []).append((k, rows[k][0]))
+    n_links = [0] * len(rows)
+    for i, _ in pairs:
+        n_links[i] += 1
+    want = []
+    for members in least.values():
+        name = min((i for _, i in members if i is not None), default=None)
+        want += [(i, n_links[k], name, i == name) for k, i in members]
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("d", [2, 24, 64, 300])
+def test_first_look_misses_nothing(d):
+    from cinderlog.llm import vector_join
+
+    rng = np.random.default_rng(d)
+    x = unit(near_and_scattered(rng, 1400, d))
+    basis, head = vector_join.axes(x[:300], 0.9)
+    z, cell = x @ basis, (x @ x[rng.integers(0, 1400, 12)].T).argmax(axis=1)
+    near = (x @ x.T >= 0.9) & ~np.eye(1400, dtype=bool)
+    some, others = (vector_join.Codes(vector_join.coded(z[p], np.arange(1400)[p], cell[p]), head) for p in (slice(0, 500), slice(500, 1400)))
+    vector_join.look(some, others, 0.9)
+    for side, linked in ((some, near[:500, 500:].any(axis=1)), (others, near[:500, 500:].any(axis=0))):
+        hit = set(side.node[side.hit].tolist())
+        assert {int(i) for i in np.flatnonzero(linked) + side.node.min()} <= hit
+        close = (x @ x.T >= 0.85)[:500, 500:].any(axis=1 if side is some else 0)
+        assert hit <= {int(i) for i in np.flatnonzero(close) + side.node.min()}
+    whole = vector_join.Codes(vector_join.coded(z, np.arange(1400), cell), head)
+    vector_join.look(whole, whole, 0.9)
+    assert set(np.flatnonzero(near.any(axis=1)).tolist()) <= set(whole.node[whole.hit].tolist())
+
+
+def test_links_of_dense_blocks():
+    """Most of a block's pairs are links: they are counted and joined, not listed."""
+    draw = np.random.default_rng(8)
+    x = unit(np.repeat(draw.normal(size=(2, 16)), 350, axis=0) + draw.normal(size=(700, 16)) * 0.25)
+    weight, near = draw.integers(1, 4, 700), (x @ x.T >= 0.9) & ~np.eye(700, dtype=bool)
+    counts, label = block_links(x, None, weight, None, 0.9)
+    assert near.mean() > 0.2 and (counts == near @ weight).all()
+    assert label.tolist() == grouped(700, zip(*np.nonzero(near)), list(range(700)))
+    counts, label = block_links(x[:300], x[300:], weight[:300], weight[300:], 0.9)
+    assert (counts == np.concatenate([near[:300, 300:] @ weight[300:], weight[:300] @ near[:300, 300:]])).all()
+    near[:300, :300] = near[300:, 300:] = False
+    assert label.tolist() == grouped(700, zip(*np.nonzero(near)), list(range(700)))

@@ -32,7 +32,7 @@ CELL, PIVOTS, PIVOT_COMPONENTS, BLOCK, STRIPE = 1024, 4096, 1 << 20, 4096, 256
 #: Vectors that the axes are learnt from, groups of a length that has at least as many times SPARSE vectors, components of a group.
 SAMPLE, GROUPS, SPARSE, COMPONENTS = 1024, 8, 256, 1 << 23
 #: Most and least vectors of a stretch, vectors of a strip of it, bytes of codes that a task gathers before it deals them.
-STRETCH, SHORT, STRIP, GATHERED = 1024, 256, 256, 4 << 20
+STRETCH, SHORT, STRIP, GATHERED = 1024, 256, 128, 4 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,14 +55,19 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
-def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``np.nonzero`` of a matrix in one piece with few hits: eight places are looked at as one number."""
+def hits(mask: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a mask in one piece with few hits: eight places are looked at as one number."""
     flat = mask.reshape(-1)
     cut = len(flat) & ~7
-    eight = np.flatnonzero(flat[:cut].view(np.uint64))
+    eight = np.flatnonzero(flat[:cut].view(np.uint64) != 0)
     at = (eight[:, None] * 8 + np.arange(8)).reshape(-1)
-    at = np.concatenate([at[flat[at]], cut + np.flatnonzero(flat[cut:])])
-    return np.divmod(at, mask.shape[1])
+    at = at[flat[at]]
+    return at if cut == len(flat) else np.concatenate([at, cut + np.flatnonzero(flat[cut:])])
+
+
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of such a matrix."""
+    return np.divmod(hits(mask), mask.shape[1])
 
 
 def joined(linked: np.ndarray) -> np.ndarray:
@@ -118,15 +123,15 @@ def block_links(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weigh
 def axes(sample: np.ndarray, cosine: float) -> tuple[np.ndarray, int]:
     """Principal axes of unit vectors, the strongest first, and how many of them the first look is to take.
 
-    An axis more costs every pair a little; a pair that the first look lets through costs about twenty thousand times as much.
+    An axis more costs every pair a little; a pair that the first look lets through in vain costs about twenty thousand times as much.
     """
     basis = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
     d, some = sample.shape[1], sample[:512] @ basis
-    best, cost = d, float(d)
+    best, cost, close = d, float(d), (some @ some.T >= cosine - 0.015).sum()
     for k in sorted({4 * round(1.15**i) for i in range(100)}):
         if k < d and len(some) > 1:
             rest = np.sqrt((some[:, k:] ** 2).sum(axis=1))
-            passed = (some[:, :k] @ some[:, :k].T + np.outer(rest, rest) >= cosine - 0.015).sum() - len(some)
+            passed = (some[:, :k] @ some[:, :k].T + np.outer(rest, rest) >= cosine - 0.015).sum() - close
             now = k + 20000 * passed / (len(some) * (len(some) - 1))
             if now < cost:
                 best, cost = k, now
@@ -203,7 +208,7 @@ def look(x: Codes, y: Codes, cosine: float) -> None:
     error = (x.full.shape[1] + 8) * 4.8e-7
     limit = cosine - float(x.off.max()) * float(y.off.max()) - error
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + error
-    product, mask = np.empty(STRIP * STRETCH, np.float32), np.empty(STRIP * STRETCH, bool)
+    product, mask = np.empty(STRIP * STRETCH, np.float32), np.empty(STRETCH * STRETCH, bool)
     for m, a in enumerate(x.parts):
         # Partners are no farther apart than ``room`` in the direction from one centre to the other, but for what rounding left out.
         far = np.sqrt(((x.centres[m] - y.centres) ** 2).sum(axis=1))
@@ -219,9 +224,9 @@ def look(x: Codes, y: Codes, cosine: float) -> None:
                 if back.min() - last[n] > room[n]:
                     continue
                 order_x, order_y = (-fore).argsort(), back.argsort()
-                left, right = left[order_x], right[order_y]
+                left, right = left.take(order_x, axis=0), right.take(order_y, axis=0)
                 reached = back[order_y].searchsorted(fore[order_x[::STRIP]] + room[n], "right").tolist()
-            found = []
+            starts, widths, size = [], [], 0
             for s in range(0, len(left), STRIP):
                 rows, upto = min(STRIP, len(left) - s), len(right) if same else reached[s // STRIP]
                 if not upto:
@@ -229,12 +234,16 @@ def look(x: Codes, y: Codes, cosine: float) -> None:
                 near = np.matmul(left[s : s + rows], right[:upto].T, out=product[: rows * upto].reshape(rows, upto))
                 if same:
                     near[np.arange(rows), s + np.arange(rows)] = -2
-                p, q = places(np.greater_equal(near, limit, out=mask[: rows * upto].reshape(rows, upto)))
-                if len(p):
-                    found.append((s + p, q))
-            if not found:
+                np.greater_equal(near, limit, out=mask[size : size + rows * upto].reshape(rows, upto))
+                starts.append(size)
+                widths.append(upto)
+                size += rows * upto
+            at = hits(mask[:size])
+            if not len(at):
                 continue
-            p, q = (np.concatenate(f) for f in zip(*found))
+            strip = np.searchsorted(starts, at, "right") - 1
+            p, q = np.divmod(at - np.array(starts)[strip], np.array(widths)[strip])
+            p += strip * STRIP
             i, j = (p, q) if same else (order_x[p], order_y[q])
             if len(p) * 64 > len(left) * len(right):
                 near = x.full[a] @ y.full[b].T + x.off[a][:, None] + y.off[b]
